@@ -1,7 +1,22 @@
 """Queries of the training-data operators, with the equivalent SQL where there is one."""
 
-from kinforge.llm import copies, grouping, survivors
+from kinforge.llm import copies, grouping, leakage, packing, spam, survivors
 
-QUERIES = {f.__name__: f for f in (copies.p1_found, copies.p1_records, survivors.p4_found, survivors.p4_facts, grouping.p5_found, grouping.p5_group_sizes)}
+_ALL = (
+    copies.p1_found,
+    copies.p1_records,
+    survivors.p4_found,
+    survivors.p4_facts,
+    grouping.p5_found,
+    grouping.p5_group_sizes,
+    packing.p7_packed,
+    packing.p7_windows,
+    leakage.p8_found,
+    leakage.p8_matches,
+    leakage.p8_items,
+    spam.p9_found,
+    spam.p9_pages,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
