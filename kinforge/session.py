@@ -57,7 +57,7 @@ def _clean() -> None:
 
 def stashed_bytes(df: DataFrame) -> int:
     """Bytes of the files a frame reads, as the planner knows them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
