@@ -1,9 +1,9 @@
 """Evaluation passages inside corpus documents, by a distributed positional inverted index.
 
 Only terms that can start a match are posted. The corpus frequency of every passage term is counted over all documents;
-each window of min_run passage words is represented by its rarest term, and only these terms get postings (document,
-position). A posting minus the term's offset in the passage is the diagonal on which a match must lie. On every such
-diagonal the passage's remaining terms, moved by it, are intersected with the document's positions, which gives the
+each window of min_run passage words is represented by its two rarest terms, and only these terms get postings (document,
+position). A posting minus the term's offset in the passage is the diagonal on which a match must lie; only diagonals
+that two terms agree on go on. On every such diagonal the passage's remaining terms, moved by it, are intersected with the document's positions, which gives the
 longest run of consecutive words exactly, and the words that match near it. Passage terms are broadcast only below a
 size that is checked; the corpus is never shuffled as a whole.
 """
@@ -41,11 +41,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     # terms that no document has can't be matched, but a window with such a term has no match either: its frequency is 0
     known = terms.join(counts, "word", "left").select("item", "off", "word", F.coalesce("freq", F.lit(0).cast("bigint")).alias("freq"))
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, min_run - 1)
-    rarest = known.select("item", "off", F.min(F.struct("freq", "word", F.col("off").alias("at"))).over(ahead).alias("r"), F.max("off").over(Window.partitionBy("item")).alias("last"))
-    anchors = rarest.where((F.col("off") + min_run - 1 <= F.col("last")) & (F.col("r.freq") > 0)).select("item", F.col("r.at").alias("off"), F.col("r.word").alias("word")).distinct()
-    anchors = stash(anchors, "p8-anchors")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("freq", "word", F.col("off").alias("at"))).over(ahead)), 1, 2)
+    windows = known.select("item", "off", rarest.alias("r"), F.max("off").over(Window.partitionBy("item")).alias("last"))
+    windows = windows.where((F.col("off") + min_run - 1 <= F.col("last")) & (F.col("r")[0]["freq"] > 0))
+    anchors = stash(windows.select("item", F.inline("r")).select("item", F.col("at").alias("off"), "word").distinct(), "p8-anchors")
     postings = docs.select("doc", F.posexplode(words(F.col("t"))).alias("pos", "word")).join(small(anchors), "word")
-    diagonals = stash(postings.select("doc", "item", (F.col("pos") - F.col("off")).alias("diagonal")).distinct(), "p8-diagonals")
+    hits = postings.select("doc", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off").distinct()
+    # a whole window brings both its terms to its diagonal; a run of one word has but one
+    enough = min(2, min_run)
+    diagonals = stash(hits.groupBy("doc", "item", "diagonal").agg(F.count("*").alias("n")).where(F.col("n") >= enough).drop("n"), "p8-diagonals")
     near = docs.join(diagonals.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(words(F.col("t"))).alias("pos", "word"))
     expected = diagonals.join(small(terms), "item").select("doc", "item", "diagonal", "off", (F.col("off") + F.col("diagonal")).alias("pos"), "word").where("pos >= 0")
     met = near.join(expected, ["doc", "pos", "word"]).select("doc", "item", "diagonal", "off").distinct()
