@@ -57,25 +57,32 @@ def _forms(name: str) -> tuple[str, ...]:
     return tuple(s for s, full in SHORT_FORMS.items() if name in full)
 
 
+def _doubled(a: str, b: str) -> bool:
+    """Whether b is a with one letter written twice."""
+    return len(b) == len(a) + 1 and any(a[i] == b[i + 1] and a[: i + 1] + a[i:] == b for i in range(len(a)))
+
+
 def words(*fields: str | None) -> list[str]:
     """The name words of some fields, without titles, suffixes and what stands for a missing name."""
     out = []
     for field in fields:
         text = plain(field) if field else ""
         if text and text.replace(" ", "") not in NO_NAME:
-            out += [t for t in text.split() if t not in TITLES and t not in SUFFIXES and t not in NO_NAME]
+            tokens = text.split()
+            out += [t for i, t in enumerate(tokens) if t not in TITLES and t not in NO_NAME and not (t in SUFFIXES and (i or len(tokens) == 1) and len(t) > 1)]
     return out
 
 
 class Person:
     """The parsed name of a record."""
 
-    __slots__ = ("first", "last", "rest", "middle", "other", "units", "names", "joined")
+    __slots__ = ("first", "last", "rest", "middle", "other", "units", "names", "joined", "fields")
 
     def __init__(self, fname, mname, lname, altlname, suffix=None):
         self.first, self.last, self.rest, self.middle, self.other = words(fname), words(lname), words(suffix), words(mname), words(altlname)
         self.units = [f for f in (self.first, self.last, self.rest) if f]
         self.names = [t for f in self.units for t in f] + self.other + self.middle
+        self.fields = ["".join(f) for f in (*self.units, self.other, self.middle) if f]
         self.joined = [*self.names, *("".join(f) for f in (*self.units, self.other, self.middle) if len(f) > 1)]
 
 
@@ -109,14 +116,17 @@ class Speller:
         short = SHORT_FORMS.get(a, frozenset()), SHORT_FORMS.get(b, frozenset())
         if b in short[0] or a in short[1] or short[0] & short[1]:
             return 0.8
-        if a in self.established and b in self.established:
+        if len(a) <= 3 and b.startswith(a):
+            return 0.8 if len(a) == 3 else 0.65
+        if a in self.established and b in self.established and not _doubled(a, b):
             return 0.0
-        most = 1 if len(b) <= 4 else 2
-        d = edits(a, b, most)
-        if d <= most and (a[0] == b[0] or d == 1 or len(a) >= 6):
+        d = edits(a, b, 2)
+        if len(b) <= 4 and d == 2:
+            return 0.5 if a[0] == b[0] and len(a) > 2 else 0.0
+        if d <= 2 and (a[0] == b[0] or d == 1 or len(a) >= 6):
             return 1 - 0.12 * d - (0.1 if a[0] != b[0] else 0)
         if b.startswith(a):
-            return 0.8 if len(a) >= 3 else 0.65
+            return 0.8
         if len(a) >= 4 and edits(a, b[: len(a)], 1) <= 1:
             return 0.7
         for x, y in ((a, b), (b, a)):  # a typo in a short form or in the name it stands for
@@ -136,7 +146,7 @@ class Speller:
             if len(field) > 1 and whole < 1:
                 whole = max(whole, min(max((self.alike(t, u) for u in b.joined), default=0.0) for t in field))
             worst = min(worst, whole)
-            if worst < 0.6:
+            if worst < 0.5:
                 return 0.0
         return worst
 

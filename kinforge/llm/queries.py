@@ -1,10 +1,12 @@
 """Queries of the training-data operators, with the equivalent SQL where there is one."""
 
-from kinforge.llm import copies, grouping, leakage, packing, spam, survivors
+from kinforge.llm import copies, grouping, leakage, packing, spam, spellings, survivors
 
 _ALL = (
     copies.p1_found,
     copies.p1_records,
+    spellings.p3_found,
+    spellings.p3_spellings,
     survivors.p4_found,
     survivors.p4_facts,
     grouping.p5_found,
