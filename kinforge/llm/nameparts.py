@@ -33,10 +33,18 @@ def plain(text: str) -> str:
     return re.sub(r"[\W_]+", " ", text).strip()
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=500_000)
+def _letters(word: str) -> int:
+    mask = 0
+    for c in word:
+        mask |= 1 << (ord(c) & 63)
+    return mask
+
+
 def edits(a: str, b: str, most: int = 2) -> int:
     """Edit distance with transpositions of neighbours, most + 1 if it is larger than most."""
-    if abs(len(a) - len(b)) > most:
+    # an edit changes at most two of the letters that occur
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -90,7 +98,7 @@ class Speller:
     """Compares name words and whole names. Names that many records bear are established: two different established
     names aren't typos of each other, however close they are."""
 
-    def __init__(self, established: frozenset[str]):
+    def __init__(self, established):
         self.established = established
         self.known: dict[tuple[str, str], float] = {}
 

@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with the equivalent SQL where there is one."""
 
-from kinforge.llm import copies, grouping, leakage, packing, spam, spellings, survivors
+from kinforge.llm import copies, grouping, leakage, matching, packing, spam, spellings, survivors
 
 _ALL = (
     copies.p1_found,
@@ -11,6 +11,8 @@ _ALL = (
     survivors.p4_facts,
     grouping.p5_found,
     grouping.p5_group_sizes,
+    matching.p6_found,
+    matching.p6_matches,
     packing.p7_packed,
     packing.p7_windows,
     leakage.p8_found,
