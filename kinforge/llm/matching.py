@@ -119,25 +119,26 @@ class Evidence:
     def name(self, a: Person, b: Person) -> float | None:
         """None if the names can't be one person's."""
         s = self.speller
-        agree, middle = s.same_name(a, b)
+        there = s.cover(a, b)
+        back = s.cover(b, a) if there < 1 else 0.0
+        agree = max(there, back)
+        if agree < 0.5 and not s.new_surname(a, b):
+            return None
+        middle = s.middle(a, b)
         if middle < 0:
             return None
         total = 0.0
         if agree >= 0.5:
-            if s.cover(a, b) < s.cover(b, a):
+            if there < back:
                 a, b = b, a
             for field in a.units:
-                whole = max((s.alike("".join(field), t) for t in b.joined), default=0.0)
-                if whole < 1 and len(field) > 1:
-                    whole = max(whole, min(max((s.alike(t, u) for u in b.joined), default=0.0) for t in field))
-                if "".join(field).__len__() == 1 or whole == 0.6:
+                whole = s.found(field, b)
+                if whole == 0.6 or len("".join(field)) == 1:
                     total += 0.6
                 else:
                     total += min(self.rarity(field), 8.0) - (0.1 if whole == 1 else 2.0 if whole >= 0.8 else 3.0 if whole >= 0.65 else 4.5)
-        elif s.new_surname(a, b):
-            total += self.rarity(a.first) - 4.5
         else:
-            return None
+            total += self.rarity(a.first) - 4.5
         if middle > 0:
             full = [w for w in a.middle if len(w) > 2 and any(len(v) > 2 and s.alike(w, v) >= 0.7 for v in b.middle)]
             total += min(self.rarity(full), 5.0) - 0.5 if full else 2.2

@@ -70,15 +70,18 @@ def _doubled(a: str, b: str) -> bool:
     return len(b) == len(a) + 1 and any(a[i] == b[i + 1] and a[: i + 1] + a[i:] == b for i in range(len(a)))
 
 
+@lru_cache(maxsize=300_000)
+def _field_words(field: str) -> tuple[str, ...]:
+    text = plain(field)
+    if not text or text.replace(" ", "") in NO_NAME:
+        return ()
+    tokens = text.split()
+    return tuple(t for i, t in enumerate(tokens) if t not in TITLES and t not in NO_NAME and not (t in SUFFIXES and (i or len(tokens) == 1) and len(t) > 1))
+
+
 def words(*fields: str | None) -> list[str]:
     """The name words of some fields, without titles, suffixes and what stands for a missing name."""
-    out = []
-    for field in fields:
-        text = plain(field) if field else ""
-        if text and text.replace(" ", "") not in NO_NAME:
-            tokens = text.split()
-            out += [t for i, t in enumerate(tokens) if t not in TITLES and t not in NO_NAME and not (t in SUFFIXES and (i or len(tokens) == 1) and len(t) > 1)]
-    return out
+    return [w for field in fields if field for w in _field_words(field)]
 
 
 class Person:
@@ -150,14 +153,35 @@ class Speller:
             return 0.0
         worst = 1.0
         for field in a.units:
-            whole = max((self.alike("".join(field), t) for t in b.joined), default=0.0)
-            if len(field) > 1 and whole < 1:
-                whole = max(whole, min(max((self.alike(t, u) for u in b.joined), default=0.0) for t in field))
-            worst = min(worst, whole)
+            worst = min(worst, self.found(field, b))
             if worst < 0.5:
                 return 0.0
         return worst
 
+    def found(self, field: list[str], b: Person) -> float:
+        """The degree to which a field, as a whole or word by word, is found among b's names."""
+        whole = field[0] if len(field) == 1 else "".join(field)
+        if whole in b.joined:
+            return 1.0
+        alike, best = self.alike, 0.0
+        for t in b.joined:
+            s = alike(whole, t)
+            if s > best:
+                best = s
+        if len(field) > 1:
+            least = 1.0
+            for w in field:
+                most = 0.0
+                for u in b.joined:
+                    s = alike(w, u)
+                    if s > most:
+                        most = s
+                least = min(least, most)
+                if least <= best:
+                    return best
+            return least
+        return best
+
     def middle(self, a: Person, b: Person) -> int:
         """1 if the middle names agree, 0 if one is missing, -1 if they differ; changed places with the first name count as agreeing."""
         if not a.middle or not b.middle:
@@ -170,7 +194,10 @@ class Speller:
 
     def same_name(self, a: Person, b: Person) -> tuple[float, int]:
         """(how well the names agree, middle names as above)."""
-        return max(self.cover(a, b), self.cover(b, a)), self.middle(a, b)
+        cover = self.cover(a, b)
+        if cover < 1:
+            cover = max(cover, self.cover(b, a))
+        return cover, self.middle(a, b)
 
     def new_surname(self, a: Person, b: Person) -> bool:
         """First and middle name in full agreement: the last name may have changed."""
