@@ -57,7 +57,7 @@ def exact_selection(df: DataFrame, keys: list[str], value: str, probs: list[floa
     types = {k: t for k, t in df.dtypes}
     out_keys = [F.when(F.col(a) != "\0", F.col(a)).cast(types[k]).alias(k) for k, a in zip(keys, ks)]
     if low is None:
-        return df.sparkSession.createDataFrame([], df.select(*keys).schema.add("prob", "double").add("n", "bigint").add("rank", "bigint").add("value", "bigint").add("n_equal", "bigint"))
+        return df.sparkSession.createDataFrame([], df.select(*keys).schema.add("prob", "double").add("n", "long").add("rank", "long").add("value", "long").add("n_equal", "long"))
     if high - low >= 1 << 63:
         raise ValueError("the values span more than 63 bits")
     rows = rows.withColumn("v", F.col("v") - F.lit(low))
