@@ -84,6 +84,8 @@ def components(edges: DataFrame, u: str, v: str, edges_per_cell: int = EDGES_PER
         up = root.select(F.col("vertex").alias("parent"), "root")
         low = level.join(up, "parent", "left").select("vertex", F.coalesce("root", "parent").alias("root"))
         root = stash(low.unionByName(root.join(level.select("vertex"), "vertex", "left_anti")), "p5-roots")
+    # a vertex that hung on another in an early round may have become the root of all in a later one
+    root = root.where("vertex <> root")
     least = root.groupBy("root").agg(F.min("vertex").alias("least")).withColumn("group_id", F.least("least", "root")).drop("least")
     least = stash(least, "p5-least")
     return root.join(least, "root").select("group_id", F.col("vertex").alias("member")).unionByName(least.select("group_id", F.col("root").alias("member")))
@@ -96,9 +98,3 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 def p5_group_sizes(spark, sf_dir: str) -> DataFrame:
     """How many groups there are of each size."""
     return p5_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
-
-
-_LABELS = """with recursive e as (select distinct indv_id_a a, indv_id_b b from candidates where indv_id_a <> '' and indv_id_b <> '' and indv_id_a <> indv_id_b),
- s as (select a, b from e union select b, a from e),
- r(indv_id, g) as (select a, a from s union select s.b, least(r.g, s.b) from r join s on s.a = r.indv_id)
-"""
