@@ -23,4 +23,13 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+_GROUPS = """with recursive e as (select distinct indv_id_a x, indv_id_b y from candidates where indv_id_a <> '' and indv_id_b <> '' and indv_id_a <> indv_id_b),
+ s as (select x, y from e union select y, x from e),
+ r(node, root) using key (node) as (select x, min(least(x, y)) from s group by x
+  union select s.y, min(r.root) from r join s on s.x = r.node join recurring.r o on o.node = s.y where r.root < o.root group by s.y)
+ select root group_id, node indv_id from r"""
+
+SQL: dict[str, str] = {
+    "p5_found": _GROUPS,
+    "p5_group_sizes": f"select size, cast(count(*) as bigint) n_groups from (select group_id, count(*) size from ({_GROUPS}) group by 1) group by 1",
+}
