@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.nameparts import Person, Speller
+from kinforge.llm.nameparts import Person, speller_of
 from kinforge.llm.spellings import birth_key, name_statistics
 from kinforge.session import small, stash
 
@@ -109,7 +109,7 @@ class Evidence:
     """Log-likelihood ratios of agreement, from the shares of values among the first source's records."""
 
     def __init__(self, names: dict[str, float], shares: dict[str, float], records: int):
-        self.names, self.shares, self.speller = names, shares, Speller(names)
+        self.names, self.shares, self.speller = names, shares, speller_of(names)
         self.prior = -math.log(max(records, 10))
         self.rare = math.log(1 / 1.5e-4)
 

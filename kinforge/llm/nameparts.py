@@ -112,7 +112,7 @@ class Speller:
         key = (a, b) if a < b else (b, a)
         got = self.known.get(key)
         if got is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 600_000:
                 self.known.clear()
             got = self.known[key] = self._alike(*key)
         return got
@@ -205,3 +205,15 @@ class Speller:
         first = max((self.alike(x, y) for x in a.first for y in b.first), default=0.0)
         middle = max((self.alike(x, y) for x in a.middle for y in b.middle if len(x) > 2 and len(y) > 2), default=0.0)
         return whole(a.first) and whole(b.first) and whole(a.middle) and whole(b.middle) and first >= 0.7 and middle >= 0.76
+
+
+_spellers: dict[int, Speller] = {}
+
+
+def speller_of(established) -> Speller:
+    """The speller of a set of established names, kept with what it has compared for the later tasks of the process."""
+    key = hash(frozenset(established))
+    if key not in _spellers:
+        _spellers.clear()
+        _spellers[key] = Speller(established)
+    return _spellers[key]
