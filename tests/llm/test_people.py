@@ -55,6 +55,28 @@ def test_spellings(spark):
     assert spellings.spellings(spark.createDataFrame([], PEOPLE)).count() == 0
 
 
+def near_births():
+    rows = [
+        ("Lloyd", "Ray", "Tammez", None, None, "1950", "1", "2", "60601", "1"),
+        ("Lloyd", "Ray", "Tamez", None, None, "1950", "1", "3", None, "1"),  # no zip code, same county
+        ("Robert", None, "Quibble", None, None, "1961", "5", "20", "60601", "1"),
+        ("Bob", None, "Quibble", None, None, "1961", "5", None, "60601", "1"),  # another initial, no day
+        ("Gloria", "Xenia", "Vance", None, None, "1944", "3", "9", "60601", "1"),
+        ("Gloria", "Xenia", "Vances", None, None, "1945", "3", "9", "73301", "2"),  # moved away, full middle name
+        ("Harvey", "Milo", "Ostrow", None, None, "1933", "8", "7", "60601", "1"),
+        ("Harvey", "Milo", "Ostrowe", None, None, "1933", None, "7", None, "1"),  # no month
+        ("Lloyd", None, "Tammez", None, None, "1950", "1", "4", "73301", "2"),  # nothing but a common name
+    ]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_spellings_across_births_without_equal_zip(spark):
+    df = spark.createDataFrame(near_births(), PEOPLE)
+    want = {frozenset({0, 1}), frozenset({2, 3}), frozenset({4, 5}), frozenset({6, 7})}
+    assert groups(spellings.spellings(df)) == want
+    assert groups(spellings.spellings(df, max_block=2)) == want
+
+
 def test_spelling_classes(spark):
     got = {r["id"]: r["spelling"] for r in spellings.spellings(spark.createDataFrame(people(), PEOPLE)).collect()}
     assert got[0] == got[2] and got[1] != got[0]
