@@ -11,6 +11,7 @@ one by one in Arrow batches: there is no shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
@@ -38,6 +39,8 @@ SEPARATOR = re.compile(r"[★☆|•»]|>>|[,;]|https?://")
 MIN_WORDS = 5
 #: Words from which a repeated run is a sentence, and from which text without punctuation can be one.
 LONG_RUN, RUN_ON = 8, 12
+#: Most words of a first line that may be the clipped start of what follows; times from which a repeated sentence is a keyword list too.
+FIRST_WORDS, MANY = 40, 6
 MIN_VARIETY = 0.62
 MIN_LISTED_CHARS = 150
 MIN_ENTRIES = 8
@@ -142,19 +145,23 @@ def judge(text: str | None) -> tuple[int, int, int, int, bool]:
         if reach == i:
             reach = len(symbols)
     own = clause = entries = 0
+    runs: Counter = Counter()
+    if repeats and max(repeats) >= LONG_RUN:
+        runs.update(tuple(symbols[i : i + LONG_RUN]) for i in range(len(symbols) - LONG_RUN + 1))
     for s, a, b, n in parts:
         size, count = sum(sizes[a:b]), b - a
         again = sum(compress(sizes[a:b], covered[a:b]))
-        # short runs that come again and again are keywords, whatever the punctuation; a whole sentence that is repeated isn't
-        stuffed = again >= 0.9 * size and max(repeats[a:b]) < LONG_RUN
+        # short runs that come again and again are keywords, whatever the punctuation; so is a whole sentence only if it comes often
+        often = max((runs[tuple(symbols[i : i + LONG_RUN])] for i in range(a, b - LONG_RUN + 1)), default=0) if runs else 0
+        stuffed = again >= 0.9 * size and max(repeats[a:b]) < LONG_RUN or again >= 0.7 * size and often >= MANY
         varied = len(set(symbols[a:b])) >= MIN_VARIETY * min(count, 40)
         listed = LISTED.search(s)
         closed = s[-1] in ".!?…\"'”»)"
         own += size
         if count >= MIN_WORDS and closed and varied and not listed and not stuffed:
             clause += size
-        elif count >= MIN_WORDS and n == 0 and not closed and not listed:
-            own -= size  # a first line that breaks off is the start of a text that follows
+        elif MIN_WORDS <= count <= FIRST_WORDS and n == 0 < parts[-1][3] and not closed and not listed:
+            own -= size  # a short first line that breaks off is the start of a text that follows
         elif count >= RUN_ON and not listed and again < 0.5 * size and sum(z <= 3 for z in sizes[a:b]) >= 0.2 * count:
             clause += size  # sentences without punctuation: small words in between, little repeated
         elif 1 < count < MIN_WORDS and closed and len(parts) < 6:

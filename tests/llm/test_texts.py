@@ -33,6 +33,16 @@ def test_spam(spark):
     assert spam.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_spam_of_one_line_and_of_long_repeats():
+    keywords = [f"{a}{b}" for a in ("garden", "lamp", "hose", "chair", "table") for b in ("price", "shop", "sale", "best", "cheap", "online", "buy", "store", "deal", "offer", "town", "home")]
+    assert spam.judge(" ".join(keywords * 20))[4] and spam.judge(", ".join(keywords))[4]
+    phrase = "Garden hose lamp chair table sofa carpet curtain mirror. "
+    assert spam.judge(phrase * 50)[4] and not spam.judge(PROSE * 4)[4]
+    towns = "".join(f"Cheap garden hose lamp chair table sofa carpet curtain mirror Town{i}. " for i in range(50))
+    assert spam.judge(towns)[4]
+    assert not spam.judge("The market was counted again in early spring and then the\n" + PROSE * 2)[4]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(40)]
