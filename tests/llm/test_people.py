@@ -77,6 +77,25 @@ def test_spellings_across_births_without_equal_zip(spark):
     assert groups(spellings.spellings(df, max_block=2)) == want
 
 
+def test_block_size_does_not_change_links(spark):
+    # an initial with a short common last name and a long other one, against the full names with that last name mistyped
+    rows = [("L", None, "Smtih", "Wolfeschlegelzausenberg", None, "1950", "1", "2", "60601", "1"), ("Lloyd", "Bartholomew", "Smith", None, None, "1950", "1", "3", "60601", "1")]
+    rows += [("Luna", None, "Sorvino", None, None, "1970", "1", "9", "60601", "1")]
+    rows += [("Lana", None, "Smith", None, None, str(1900 + i), "6", "28", None, None) for i in range(90)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PEOPLE)
+    assert groups(spellings.spellings(df)) == {frozenset({0, 1})}
+    assert groups(spellings.spellings(df, max_block=2)) == {frozenset({0, 1})}
+
+
+def test_cosines_are_the_true_ones():
+    people = [Person(f, None, last, None) for f in ("Lloyd", "Loyd", "Dorothy", "Doroteo", "Xena", "Roberta") for last in ("Tammez", "Tamez", "Smith", "Smyth", "Quibble")]
+    vectors = spellings.Vectors({})
+    grams = [vectors.of(p) for p in people]
+    norm = [sum(w * w for w in g.values()) ** 0.5 for g in grams]
+    cosine = lambda i, j: sum(w * grams[j].get(k, 0) for k, w in grams[i].items()) / norm[i] / norm[j]
+    assert set(vectors.cosines(people)) == {(i, j) for j in range(len(people)) for i in range(j) if cosine(i, j) >= spellings.COSINE}
+
+
 def test_spelling_classes(spark):
     got = {r["id"]: r["spelling"] for r in spellings.spellings(spark.createDataFrame(people(), PEOPLE)).collect()}
     assert got[0] == got[2] and got[1] != got[0]
