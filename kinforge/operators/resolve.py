@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.session import stash
+from kinforge.operators.preprocess import indexed
+from kinforge.session import drop_stash, stash
+
+#: Links, and weighted pairs, that one task takes on; larger graphs go in rounds of aggregates and joins until so few are left.
+EDGES_PER_TASK, PAIRS_PER_TASK = 400_000, 200_000
 
 
 def accepted(found: DataFrame, level: str) -> DataFrame:
@@ -16,14 +22,21 @@ def accepted(found: DataFrame, level: str) -> DataFrame:
     return found if level == "review" else found.where(F.coalesce(F.col(f"match_{level}"), F.lit(True)))
 
 
-def components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root): the smallest id (as a string) linked to each id, by alternating large-star and small-star steps.
+def components(edges: DataFrame, u: str, v: str, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """(node, root): the smallest id (as a string) linked to each id; an id linked only with itself is its own root.
 
-    A large star hangs all greater neighbours of a node on the least one it knows, a small star hangs the node and its
-    smaller neighbours on it; both are aggregates and joins, so a hub's edges are never gathered. Ends when the edges stand still."""
+    Up to edges_per_task distinct links are joined by one union-find, in a stream with memory for the ids. More take alternating
+    large-star and small-star steps over 64-bit codes that keep the order of the ids (a large star hangs all greater
+    neighbours of a node on the least one it knows, a small star hangs the node and its smaller neighbours on it; both are
+    aggregates and joins, so a hub's edges are never gathered), until the links stand still."""
     now = edges.select(F.trim(F.col(u).cast("string")).alias("x"), F.trim(F.col(v).cast("string")).alias("y")).where("x is not null and y is not null")
-    alone = now.where("x = y").select(F.col("x").alias("node"))
-    now = stash(now.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "cc")
+    links = stash(now.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "cc-links")
+    if links.count() <= edges_per_task:
+        return links.coalesce(1).mapInPandas(_union_find, "node string, root string")
+    ids = links.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    coded = stash(indexed(ids, ["node"], "code"), "cc-codes")
+    code = lambda c: coded.select(F.col("node").alias(c), F.col("code").alias(f"c{c}"))
+    now = stash(links.where("x <> y").join(code("x"), "x").join(code("y"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y")), "cc")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("x", "y"), 24))).first())
     before = mark(now)
     while before[0]:
@@ -32,32 +45,50 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionByName(low.select("x", F.col("m").alias("y")))
-        now = stash(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "cc")
+        old, now = now, stash(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "cc")
+        drop_stash(old)
         after = mark(now)
         if after == before:
             break
         before = after
-    linked = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    roots = now.select("y").distinct().select(F.col("y").alias("node"), F.col("y").alias("root"))
-    known = linked.unionByName(roots)
-    return known.unionByName(alone.distinct().join(known.select("node"), "node", "left_anti").withColumn("root", F.col("node")))
+    rooted = coded.join(now.withColumnRenamed("x", "code"), "code", "left").select("node", F.coalesce("y", "code").alias("code"))
+    return rooted.join(coded.withColumnRenamed("node", "root"), "code").select("node", "root")
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(x, y) -> (node, root), root the smallest id of a set."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        path = [x]
+        while above[path[-1]] != path[-1]:
+            path.append(above[path[-1]])
+        for p in path:
+            above[p] = path[-1]
+        return path[-1]
+
+    for pdf in batches:
+        for pair in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+            for x in pair:
+                above.setdefault(x, x)
+            low, high = sorted(map(top, pair))
+            above[high] = low
+    nodes = list(above)
+    for i in range(0, len(nodes), 50_000):
+        some = nodes[i : i + 50_000]
+        yield pd.DataFrame({"node": some, "root": [top(x) for x in some]})
 
 
 def numbered(df: DataFrame, root: str = "root") -> DataFrame:
-    """ch_id: groups numbered from 0 in the order of their smallest member. Numbers come from counts by range partition, so
-    no task sees all groups."""
-    groups = stash(df.select(root).distinct().repartitionByRange(F.col(root)).sortWithinPartitions(root).withColumn("_part", F.spark_partition_id()), "roots")
-    start = groups.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(root)) - 1
-    named = groups.withColumn("_at", at).join(start, "_part").select(root, (F.col("_at") + F.col("_before")).cast("bigint").alias("ch_id"))
-    return df.join(named, root)
+    """ch_id: groups numbered from 0 in the order of their smallest member, without a task that sees all groups."""
+    return df.join(indexed(df.select(root).distinct(), [root], "ch_id"), root)
 
 
 def dedup(found: DataFrame, ids: DataFrame, level: str = "strict", id_col: str = "indv_id") -> DataFrame:
-    """(orig_id, ch_id) for every id, matched or not; ids are trimmed on both sides."""
+    """(orig_id, ch_id) for every id of ids, matched or not; ids are trimmed on both sides, NULL ids are left out."""
     linked = components(accepted(found, level), "indv_id_a", "indv_id_b")
     every = ids.select(F.trim(F.col(id_col).cast("string")).alias("node")).where("node is not null").distinct()
-    roots = every.join(linked, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    roots = every.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return numbered(roots).select(F.col("node").alias("orig_id"), "ch_id")
 
 
@@ -81,57 +112,58 @@ def best_unique(found: DataFrame, one: str, level: str = "strict") -> DataFrame:
     return sure.select(F.col("lo" if one == "a" else "many").alias("indv_id_a"), F.col("many" if one == "a" else "lo").alias("indv_id_b"), "passnum")
 
 
-def greedy(rows: list[tuple]) -> list[tuple]:
-    """(a, b, weight, passnum) in order of weight -> accepted (a, b, passnum).
-
-    The heaviest pairs win; a tie removes all its pairs, and with them a heavier pair of an id on the other side of a tie."""
-    of_a: dict = {}
-    of_b: dict = {}
-    for a, b, w, p in rows:
-        held_a, held_b = of_a.get(a), of_b.get(b)
-        if held_a and held_a[1] == w or held_b and held_b[1] == w:
-            if held_a is None:
-                of_a[a] = [b, w, True, p]
-            elif held_a[0] != b:
-                held_a[2] = True
-                back = of_b.get(held_a[0])
-                if back and back[0] == a:
-                    back[2] = True
-            if held_b is None:
-                of_b.setdefault(b, [a, w, True, p])
-            elif held_b[0] != a:
-                held_b[2] = True
-                back = of_a.get(held_b[0])
-                if back and back[0] == b:
-                    back[2] = True
-        elif held_a is None and held_b is None:
-            of_a[a], of_b[b] = [b, w, False, p], [a, w, False, p]
-    return [(a, b, p) for a, (b, _, gone, p) in of_a.items() if not gone]
-
-
-def _by_component(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, rows, out = None, [], []
-    for pdf in batches:
-        for root, *row in zip(*[pdf[c].tolist() for c in ("root", "indv_id_a", "indv_id_b", "weight", "passnum")]):
-            if root != held:
-                out += greedy(rows)
-                held, rows = root, []
-            rows.append(tuple(row))
-    out += greedy(rows)
-    yield pd.DataFrame(out, columns=["indv_id_a", "indv_id_b", "passnum"])
-
-
-def one_to_one(found: DataFrame, level: str = "strict") -> DataFrame:
-    """(indv_id_a, indv_id_b, passnum): greedy by weight, ambiguous ties removed.
-
-    The outcome for an id depends only on its connected component, so components are resolved in parallel, each in a total
-    order (weight, ids, pass, rows)."""
-    rows = accepted(found, level).where("indv_id_a is not null and indv_id_b is not null")
-    rows = stash(rows.select("indv_id_a", "indv_id_b", "weight", "passnum", "pass_order", "idx_a", "idx_b"), "one-to-one")
-    linked = components(rows.select(F.concat(F.lit("a_"), "indv_id_a").alias("u"), F.concat(F.lit("b_"), "indv_id_b").alias("v")), "u", "v")
-    keyed = rows.join(linked.withColumnRenamed("node", "_n"), F.concat(F.lit("a_"), F.trim("indv_id_a")) == F.col("_n"))
-    inside = keyed.repartition(F.col("root")).sortWithinPartitions("root", F.desc("weight"), "indv_id_a", "indv_id_b", "pass_order", "idx_a", "idx_b")
-    return inside.mapInPandas(_by_component, "indv_id_a string, indv_id_b string, passnum string")
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """entry_weights for all pairs in one task, weight by weight."""
+    pairs = sorted((-w, a, b) for pdf in batches for a, b, w in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].tolist()))
+    taken: dict[tuple[str, str], float] = {}
+    for less, level in groupby(pairs, key=lambda p: p[0]):
+        free = [(("a", a), ("b", b)) for _, a, b in level if ("a", a) not in taken and ("b", b) not in taken]
+        taken.update((end, -less) for ends in free for end in ends)
+    yield pd.DataFrame([(side, x, w) for (side, x), w in taken.items()], columns=["side", "id", "entry"])
+
+
+def entry_weights(pairs: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """(a, b, weight) without repeats -> (side, id, entry): the weight at which an id is settled, the greatest one of its pairs
+    whose other id isn't settled at a greater weight.
+
+    Each round settles the pairs that are the heaviest left for both their ids, all over the graph at once, and drops what is
+    lighter at these ids; what is left below pairs_per_task is finished in one task. Only aggregates and joins: neither the
+    pairs of an id nor a component are gathered."""
+    done = []
+    while pairs.count() > pairs_per_task:
+        seen = pairs.join(pairs.groupBy("a").agg(F.max("weight").alias("top_a")), "a").join(pairs.groupBy("b").agg(F.max("weight").alias("top_b")), "b")
+        seen = stash(seen.withColumn("free", (F.col("weight") == F.col("top_a")) & (F.col("weight") == F.col("top_b"))), "121-round")
+        free = seen.where("free")
+        done += [free.select(F.lit(s).alias("side"), F.col(s).alias("id"), F.col("weight").alias("entry")).distinct() for s in "ab"]
+        left = seen.where("not free")
+        for s in "ab":
+            left = left.join(free.select(s, F.lit(True).alias(f"_{s}")).distinct(), s, "left").where(f"_{s} is null or weight = top_{s}")
+        pairs = stash(left.select("a", "b", "weight"), "121-left")
+    done.append(pairs.coalesce(1).mapInPandas(_entries, "side string, id string, entry double"))
+    return reduce(DataFrame.unionByName, done).distinct()
+
+
+def one_to_one(found: DataFrame, level: str = "strict", pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """(indv_id_a, indv_id_b, passnum): the heaviest pairs win, ambiguous ties are removed.
+
+    A pair is free if neither id is settled at a greater weight. It is matched if both ids have no other free pair of this
+    weight. A pair of an id that is settled here with an id that was settled at a greater weight makes both ambiguous and
+    removes their matches. Of a pair met several times at its weight the first pass counts. Rows without an id on either
+    side match nothing. The result doesn't depend on the order of rows."""
+    rows = accepted(found, level).where("indv_id_a is not null and indv_id_b is not null and weight is not null")
+    first = F.min(F.struct("pass_order", "passnum"))["passnum"].alias("passnum")
+    pairs = rows.groupBy(F.col("indv_id_a").alias("a"), F.col("indv_id_b").alias("b"), F.col("weight").cast("double").alias("weight")).agg(first)
+    pairs = stash(pairs, "121-pairs")
+    entries = stash(entry_weights(pairs.select("a", "b", "weight"), pairs_per_task), "121-entries")
+    at = lambda s: entries.where(F.col("side") == s).select(F.col("id").alias(s), F.col("entry").alias(f"at_{s}"))
+    known = stash(pairs.join(at("a"), "a").join(at("b"), "b"), "121-known")
+    free = known.where("weight = at_a and weight = at_b")
+    late = known.where("weight = at_a and weight < at_b or weight = at_b and weight < at_a")
+    matched = free.select("a", "b", "passnum")
+    for s in "ab":
+        alone = free.groupBy(s).agg(F.count("*").alias("n")).where("n = 1").select(s)
+        matched = matched.join(alone, s, "left_semi").join(late.select(s), s, "left_anti")
+    return matched.select(F.col("a").alias("indv_id_a"), F.col("b").alias("indv_id_b"), "passnum")
 
 
 def crosswalk(found: DataFrame, match_type: str, level: str, ids: DataFrame | None = None) -> DataFrame:

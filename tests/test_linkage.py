@@ -33,11 +33,34 @@ def test_one_to_one(spark, rows, expected):
     assert {(r["indv_id_a"], r["indv_id_b"]) for r in got} == expected
 
 
-def test_one_to_one_whole_equals_components(spark):
-    rng = random.Random(3)
-    rows = [(rng.randrange(30), f"b{rng.randrange(30)}", rng.randrange(4)) for _ in range(60)]
-    ordered = sorted(((str(a), b, float(w), "2") for a, b, w in rows), key=lambda r: (-r[2], r[0], r[1]))
-    assert {(r["indv_id_a"], r["indv_id_b"]) for r in resolve.one_to_one(pairs(spark, rows)).collect()} == {(a, b) for a, b, _ in resolve.greedy(ordered)}
+def by_weight(rows):
+    """One-to-one matches by definition, weight by weight over sets."""
+    entry, free, late = {}, set(), set()
+    for w in sorted({w for _, _, w in rows}, reverse=True):
+        here = {(("a", str(a)), ("b", b)) for a, b, x in rows if x == w}
+        now = {p for p in here if not any(e in entry for e in p)}
+        settled = dict.fromkeys((e for p in now for e in p), w)
+        late |= {e for p in here - now for e in p if sum(x in settled for x in p) == 1}
+        entry.update(settled)
+        free |= {p for p in now if sum(p[0] == q[0] or p[1] == q[1] for q in now) == 1}
+    return {(a[1], b[1]) for a, b in free if a not in late and b not in late}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_to_one_is_the_same_in_rounds(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40), f"b{rng.randrange(40)}", rng.randrange(12)) for _ in range(90)]
+    rows += [(100 + i, f"c{i + j}", 2 * i + j) for i in range(8) for j in range(2)]  # a chain of rising weights
+    want = by_weight(rows)
+    rng.shuffle(rows)
+    for most in (200_000, 30, 0):
+        got = resolve.one_to_one(pairs(spark, rows), pairs_per_task=most).collect()
+        assert {(r["indv_id_a"], r["indv_id_b"]) for r in got} == want and len(got) == len(want)
+
+
+def test_one_to_one_nulls_and_passes(spark):
+    rows = [("1", "x", 9.0, "3", 3, 0, 0, True), ("1", "x", 9.0, "1", 1, 0, 0, True), (None, "x", 10.0, "1", 1, 0, 0, True), ("2", "y", None, "1", 1, 0, 0, True), ("3", "z", 5.0, "1", 1, 0, 0, False), ("4", "w", 5.0, "1", 1, 0, 0, None)]
+    assert sorted(map(tuple, resolve.one_to_one(spark.createDataFrame(rows, PAIRS)).collect())) == [("1", "x", "1"), ("4", "w", "1")]
 
 
 @pytest.mark.parametrize("rows,expected", [([(1, "x", 9), (2, "x", 9)], set()), ([(1, "x", 9), (2, "x", 8)], {("1", "x")}), ([(1, "x", 9), (1, "y", 5)], {("1", "x"), ("1", "y")}), ([], set())])
@@ -64,10 +87,12 @@ def test_components_of_chains_and_hubs(spark):
     rng = random.Random(1)
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)] + [("hub", f"h{i}") for i in range(50)]
     rng.shuffle(edges)
-    got = resolve.components(spark.createDataFrame(edges, "x string, y string"), "x", "y").collect()
-    roots = {r["node"]: r["root"] for r in got}
-    assert len(got) == len(roots) == 121 + 51
-    assert {v for k, v in roots.items() if k.startswith("c")} == {"c000"} and len(set(roots.values())) == 2
+    edges += [("alone", "alone"), (None, "c001"), (" c001", "c000 "), ("c001", "c001")]
+    for most in (400_000, 0):
+        got = resolve.components(spark.createDataFrame(edges, "x string, y string"), "x", "y", most).collect()
+        roots = {r["node"]: r["root"] for r in got}
+        assert len(got) == len(roots) == 121 + 51 + 1 and roots["alone"] == "alone"
+        assert {v for k, v in roots.items() if k.startswith("c")} == {"c000"} and len(set(roots.values())) == 3
 
 
 def people(spark, rows):
