@@ -9,6 +9,8 @@ splits only these bins. A rank is resolved once its bin holds a single value. Ro
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,24 @@ def per_key(df: DataFrame, keys: list[str], person: str, at: str, row_id: str) -
     return coarse.select(*keys, "n_rows", "n_persons", F.col("last.id").alias("latest_id"), F.col("last.at").alias("latest_at"))
 
 
-def exact_selection(df: DataFrame, keys: list[str], value: str, probs: list[float], bits: int = BITS) -> DataFrame:
+def _exact(p: float | str | Fraction) -> Fraction:
+    """The decimal number that p is written as: 0.28 is 28/100, not the nearest binary fraction."""
+    return p if isinstance(p, Fraction) else Fraction(str(p))
+
+
+def _ceiling(p: Fraction, n: str) -> Column:
+    """ceil(p * n) in whole numbers."""
+    return F.expr(f"cast((cast({n} as decimal(19,0)) * {p.numerator} + {p.denominator - 1}) div {p.denominator} as bigint)")
+
+
+def exact_selection(df: DataFrame, keys: list[str], value: str, probs: list, bits: int = BITS) -> DataFrame:
     """keys, prob, n, rank, value, n_equal: per key the exact discrete quantiles of a bigint column.
 
-    The quantile at prob is the smallest value with at least prob * n of the key's n values at or below it (rank =
-    ceil(prob * n), at least 1); n_equal counts the values equal to it. NULL values are left out; keys may be NULL and
+    The quantile at prob (a number as written, or a Fraction) is the smallest value with at least prob * n of the key's n values
+    at or below it (rank = ceil(prob * n) in whole numbers, at least 1); n_equal counts the values equal to it. NULL values are left out; keys may be NULL and
     form a key of their own; a key without values gives no row. Ties need no rule, since equal values resolve together.
     """
+    probs = [_exact(p) for p in probs]
     if not probs or any(not 0 <= p <= 1 for p in probs):
         raise ValueError("probs must lie between 0 and 1")
     ks = [f"_k{i}" for i in range(len(keys))]
@@ -69,8 +82,8 @@ def exact_selection(df: DataFrame, keys: list[str], value: str, probs: list[floa
         hist = hist.withColumn("upto", F.sum("c").over(running))
         if wanted is None:
             total = F.sum("c").over(Window.partitionBy(*ks))
-            each = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-            found = hist.withColumn("n", total).select("*", each.alias("prob")).withColumn("rank", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("prob") * F.col("n")))).withColumn("r", F.col("rank"))
+            each = F.inline(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.greatest(F.lit(1).cast("bigint"), _ceiling(p, "n")).alias("rank")) for p in probs]))
+            found = hist.withColumn("n", total).select("*", each).withColumn("r", F.col("rank"))
         else:
             found = hist.join(wanted, [*ks, "_in"])
         found = found.where("upto >= r and upto - c < r").withColumn("r", F.col("r") - (F.col("upto") - F.col("c")))
@@ -88,17 +101,18 @@ def exact_selection(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return result.select(*out_keys, "prob", "n", "rank", "value", "n_equal")
 
 
-def hot_keys(df: DataFrame, fields: dict[str, Column], share: float) -> DataFrame:
+def hot_keys(df: DataFrame, fields: dict[str, Column], share: float | Fraction) -> DataFrame:
     """(field_name, key_value, n_rows): values that at least share of all rows of df have.
 
     Order a field's values by a 62-bit hash: a value with that many rows covers one of the ranks at multiples of share,
     so exact selection at these ranks, with the field as key, meets every such value, however the rest is spread. The few values
     it finds are then counted as strings, which also settles hash collisions.
     """
-    n = df.count()
+    n, share = df.count(), _exact(share)
+    enough = lambda c: F.col(c) >= -(-share.numerator * n // share.denominator)
     long = by_field(df, fields)
     coded = long.withColumn("code", F.shiftrightunsigned(F.xxhash64("key_value"), 2))
     probs = [i * share for i in range(1, int(1 / share) + 1)]
-    met = exact_selection(coded, ["field_name"], "code", probs).where(F.col("n_equal") >= share * n).select("field_name", F.col("value").alias("code")).distinct()
+    met = exact_selection(coded, ["field_name"], "code", probs).where(enough("n_equal")).select("field_name", F.col("value").alias("code")).distinct()
     counts = coded.join(stash(met, "p2-met"), ["field_name", "code"], "left_semi").groupBy("field_name", "key_value").agg(F.count("*").alias("n_rows"))
-    return counts.where(F.col("n_rows") >= share * n)
+    return counts.where(enough("n_rows"))

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,16 @@ def test_per_key(spark):
     rows = [("a", "p", 1, 0), ("a", "p", 3, 1), ("a", "q", 3, 2), ("b", None, None, 3)]
     got = {r["k"]: (r["n_rows"], r["n_persons"], r["latest_id"]) for r in per_key(spark.createDataFrame(rows, "k string, p string, t int, i long"), ["k"], "p", "t", "i").collect()}
     assert got == {"a": (3, 2, 2), "b": (1, 0, 3)}
+
+
+def test_values_exactly_at_the_threshold(spark):
+    # 0.04 of 100 rows are 4; as binary fractions some multiples of it come out a little too large
+    rows = [("x", f"one{i}") for i in range(28)] + [("x", "four")] * 4 + [("x", f"two{i}") for i in range(68)]
+    found = hot_keys(spark.createDataFrame(rows, "f string, v string"), {"v": F.col("v")}, 0.04)
+    assert [tuple(r) for r in found.collect()] == [("v", "four", 4)]
+    for n in (25, 175, 10_000):  # every multiple of 4 % is a rank of its own
+        df = spark.range(1, n + 1).select(F.lit("k").alias("k"), "id")
+        got = {r["rank"]: r["value"] for r in exact_selection(df, ["k"], "id", [Fraction(i, 25) for i in range(1, 26)]).collect()}
+        assert got == {i * n // 25: i * n // 25 for i in range(1, 26)}
+    df = spark.range(1, 101).select(F.lit("k").alias("k"), "id")
+    assert {r["rank"] for r in exact_selection(df, ["k"], "id", [0.07, 0.14, 0.28, 0.29]).collect()} == {7, 14, 28, 29}
