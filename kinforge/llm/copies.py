@@ -10,6 +10,8 @@ row is compared with that row only; rows that turn out different form the groups
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,6 @@ from kinforge.session import stash
 
 PARTS = ("fname", "lname", "suffix")
 EQUAL = ("mname", "altlname", "byear", "bmonth", "bday", "zipcode", "county", "common_id")
-#: Tokens up to which all ways to cut are tried; longer fields need equal tokens or equal whole fields.
-MAX_TOKENS = 16
 
 
 def tokens(c: Column) -> Column:
@@ -39,22 +39,55 @@ def fingerprint(parts: list[Column], equal: dict[str, Column]) -> Column:
 def same_parts(a: list[str], b: list[str]) -> bool:
     """Whether two lists of fields (tokens with single spaces) can be cut into the same parts. A part lies within one
     field on either side and each of its ends is the end of a token on at least one side: white space within a part or
-    its loss between two parts doesn't matter, but letters never change their order within a token of both."""
+    its loss between two parts doesn't matter, but letters never change their order within a token of both.
+
+    Multisets are compared, nothing is sorted by value. Where they leave it open, all ways to cut are searched, whatever the
+    length: first without the tokens that both have, then with them."""
     x, y = [f for f in a if f], [f for f in b if f]
-    if sorted(f.replace(" ", "") for f in x) == sorted(f.replace(" ", "") for f in y):
-        return True
-    words_x, words_y = sorted(" ".join(x).split()), sorted(" ".join(y).split())
-    if words_x == words_y:
+    if Counter(f.replace(" ", "") for f in x) == Counter(f.replace(" ", "") for f in y):
         return True
-    if len(words_x) > MAX_TOKENS or len(words_y) > MAX_TOKENS or sorted("".join(words_x)) != sorted("".join(words_y)):
+    if Counter("".join(x).replace(" ", "")) != Counter("".join(y).replace(" ", "")):
         return False
+    shared = Counter(" ".join(x).split()) & Counter(" ".join(y).split())
+    return _cuttable(_without(x, shared), _without(y, shared)) or bool(shared) and _cuttable(x, y)
+
+
+def _without(fields: list[str], some: Counter) -> list[str]:
+    left, out = Counter(some), []
+    for f in fields:
+        words = []
+        for w in f.split(" "):
+            if left[w]:
+                left[w] -= 1
+            else:
+                words.append(w)
+        out.append(" ".join(words))
+    return [f for f in out if f]
+
+
+def _cuttable(x: list[str], y: list[str]) -> bool:
+    """Covers the letters of x from left to right with pieces of y. A state is how far x is covered and which pieces of y
+    are free; states whose free pieces read the same are one state and are searched once."""
     text_x, fields_x, ends_x = _flat(x)
     text_y, fields_y, ends_y = _flat(y)
     last_x = {i: e for s, e in fields_x for i in range(s, e)}
+    shapes: dict = {}
+
+    def shape(piece: tuple[int, int]) -> tuple:
+        if piece not in shapes:
+            s, e = piece
+            shapes[piece] = text_y[s:e], tuple(p - s for p in range(s, e + 1) if p in ends_y)
+        return shapes[piece]
 
-    def cut(at: int, free: list[tuple[int, int]]) -> bool:
+    open_states, seen = [(0, fields_y)], set()
+    while open_states:
+        at, free = open_states.pop()
         if at == len(text_x):
             return True
+        state = at, frozenset(Counter(map(shape, free)).items())
+        if state in seen:
+            continue
+        seen.add(state)
         for k, (s, e) in enumerate(free):
             for q in range(s, e):
                 if text_y[q] != text_x[at] or not (at in ends_x or q in ends_y):
@@ -62,12 +95,10 @@ def same_parts(a: list[str], b: list[str]) -> bool:
                 most = 1
                 while at + most < last_x[at] and q + most < e and text_x[at + most] == text_y[q + most]:
                     most += 1
-                for n in range(most, 0, -1):
-                    if (at + n in ends_x or q + n in ends_y) and cut(at + n, free[:k] + [p for p in ((s, q), (q + n, e)) if p[0] < p[1]] + free[k + 1 :]):
-                        return True
-        return False
-
-    return cut(0, fields_y)
+                for n in range(1, most + 1):
+                    if at + n in ends_x or q + n in ends_y:
+                        open_states.append((at + n, free[:k] + [p for p in ((s, q), (q + n, e)) if p[0] < p[1]] + free[k + 1 :]))
+    return False
 
 
 def _flat(fields: list[str]) -> tuple[str, list[tuple[int, int]], set[int]]:

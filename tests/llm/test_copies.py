@@ -19,6 +19,15 @@ def test_same_parts():
     assert same_parts(["", "", ""], ["", ""]) and not same_parts(["a"], [""])
 
 
+def test_same_parts_of_long_names():
+    words = [f"w{chr(97 + i)}x" for i in range(26)]
+    for n in (14, 15, 16, 17, 26):  # one part is joined and moved, whatever the number of tokens
+        assert same_parts([" ".join(words[:n]), "anna smith"], [" ".join(reversed(words[:n])) + " annasmith", ""])
+        assert not same_parts([" ".join(words[:n]), "anna smith"], [" ".join(reversed(words[:n])) + " annasmiht", ""])
+    assert same_parts(["b pb q"], ["b", "qb p"])  # only with the token that both have
+    assert same_parts(["a " * 40 + "b"], ["aa " * 20 + "b"])
+
+
 def test_copies_against_brute_force(spark):
     rng = random.Random(5)
     base = [("Anna", "Smith", "Jr"), ("Neol", "Smith", ""), ("Noel", "Smith", None), ("Lee Ann", "O'Hara", ""), ("", "", None), (None, None, None)]
