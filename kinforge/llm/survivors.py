@@ -7,9 +7,9 @@ field may have several true values and all judged true are retained (survivor_fa
 usable values, the one that its rule prefers (fullest name, latest zip code); the model decides between values that the
 rule leaves equal.
 
-Records are reduced to facts by partial aggregates; a fact holds the ids of the sources that state it and of those that
-don't, at most one entry for each source. A round of the model is one pass over the facts and one aggregate by source: the
-parameters, two numbers a source, are all the driver sees.
+Records are reduced to facts by partial aggregates; a fact holds the sources that state it and those that don't, at most
+one entry for each source. A round of the model joins the patterns of such sources with the sources' qualities and aggregates
+by pattern, then by source; rounds go on until the qualities stand still.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.session import stash
+from kinforge.session import drop_stash, stash
 
-#: What stands for a missing middle name.
+#: What stands for a missing middle name.
 PLACEHOLDERS = ("NMN", "NMI", "NONE", "UNK", "UNKNOWN", "N/A", "NULL", "NO MIDDLE NAME", "NOT GIVEN", "XXX", "XX", "X", "TEST", "-", "MISSING", "BLANK")
-ROUNDS = 6
+#: How far a source's quality may still move, and rounds within which that must be reached.
+TOLERANCE, ROUNDS = 1e-4, 200
+#: Between the names of the sources of a pattern.
+SEPARATOR = "\0"
 #: Prior counts of the two Beta distributions (true positives, false negatives; true negatives, false positives) and of truth.
 PRIOR_SENSITIVITY, PRIOR_SPECIFICITY, PRIOR_TRUE = (5.0, 5.0), (9.0, 1.0), 0.5
 
@@ -40,28 +43,40 @@ def zip5(c: Column) -> Column:
     return F.when(z.rlike(r"^\d{5}(-?\d{4})?$") & ~F.substring(z, 1, 5).rlike(r"^(\d)\1{4}$"), F.substring(z, 1, 5))
 
 
-def latent_truth(facts: DataFrame, n_sources: int, rounds: int = ROUNDS) -> DataFrame:
-    """facts with (yes, no: arrays of source numbers from 1) -> the same with p_true, by expectation-maximisation."""
-    a, b = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
-    sens, spec = [a[0] / sum(a)] * n_sources, [b[0] / sum(b)] * n_sources
+def latent_truth(facts: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """facts with (yes, no: arrays of source names) -> the same with p_true, by expectation-maximisation until no source's
+    sensitivity or specificity moves by more than tolerance; RuntimeError if that takes more than rounds.
 
-    def posterior() -> Column:
-        yes = F.array(*[F.lit(math.log(s / (1 - t))) for s, t in zip(sens, spec)])
-        no = F.array(*[F.lit(math.log((1 - s) / t)) for s, t in zip(sens, spec)])
-        add = lambda of, w: F.aggregate(of, F.lit(0.0), lambda acc, i: acc + F.element_at(w, i))
-        logit = F.lit(math.log(PRIOR_TRUE / (1 - PRIOR_TRUE))) + add(F.col("yes"), yes) + add(F.col("no"), no)
-        return 1 / (1 + F.exp(-logit))
+    Facts with equal yes and no are one pattern with a count, and only patterns take part in the rounds. Sources are rows of a
+    table, so neither their number nor that of the patterns is bounded; the driver sees one number a round."""
+    sets = [F.array_join(F.array_sort(c), SEPARATOR) for c in ("yes", "no")]
+    facts = facts.withColumn("pattern", F.concat_ws(SEPARATOR + SEPARATOR, *sets))
+    patterns = facts.groupBy("pattern").agg(F.first("yes").alias("yes"), F.first("no").alias("no"), F.count("*").alias("n"))
+    saying = lambda c, y: F.transform(c, lambda s: F.struct(s.alias("source"), F.lit(y).alias("said")))
+    said = stash(patterns.select("pattern", "n", F.inline(F.concat(saying("yes", True), saying("no", False)))), "p4-patterns")
+    (a1, a0), (b1, b0) = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
+    quality = said.select("source").distinct().select("source", F.lit(a1 / (a1 + a0)).alias("sens"), F.lit(b1 / (b1 + b0)).alias("spec"))
 
-    if n_sources == 0:
-        return facts.withColumn("p_true", F.lit(PRIOR_TRUE))
+    def believed(quality: DataFrame) -> DataFrame:
+        weight = F.when(F.col("said"), F.ln(F.col("sens") / (1 - F.col("spec")))).otherwise(F.ln((1 - F.col("sens")) / F.col("spec")))
+        logit = F.lit(math.log(PRIOR_TRUE / (1 - PRIOR_TRUE))) + F.sum(weight)
+        return said.join(quality, "source").groupBy("pattern").agg((1 / (1 + F.exp(-logit))).alias("p_true"))
+
+    quality = stash(quality, "p4-quality")
     for _ in range(rounds):
-        said = facts.select(posterior().alias("p"), F.explode(F.concat(F.transform("yes", lambda i: F.struct(i.alias("s"), F.lit(True).alias("y"))), F.transform("no", lambda i: F.struct(i.alias("s"), F.lit(False).alias("y"))))).alias("o"))
-        sums = said.groupBy("o.s", "o.y").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f")).collect()
-        got = {(r["s"], r["y"]): (r["t"], r["f"]) for r in sums}
-        for s in range(n_sources):
-            (tp, fp), (fn, tn) = got.get((s + 1, True), (0.0, 0.0)), got.get((s + 1, False), (0.0, 0.0))
-            sens[s], spec[s] = (tp + a[0]) / (tp + fn + sum(a)), (tn + b[0]) / (tn + fp + sum(b))
-    return facts.withColumn("p_true", posterior())
+        p, n = F.col("p_true"), F.col("n")
+        total = lambda said, part: F.sum(F.when(F.col("said") == said, n * part).otherwise(0.0))
+        sums = said.join(believed(quality), "pattern").groupBy("source").agg(total(True, p).alias("tp"), total(False, p).alias("fn"), total(False, 1 - p).alias("tn"), total(True, 1 - p).alias("fp"))
+        sens, spec = (F.col("tp") + a1) / (F.col("tp") + F.col("fn") + a1 + a0), (F.col("tn") + b1) / (F.col("tn") + F.col("fp") + b1 + b0)
+        old, quality = quality, stash(sums.select("source", sens.alias("sens"), spec.alias("spec")), "p4-quality")
+        before = old.select("source", F.col("sens").alias("_s"), F.col("spec").alias("_t"))
+        moved = quality.join(before, "source").agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("_s")), F.abs(F.col("spec") - F.col("_t"))))).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+        drop_stash(old)
+    else:
+        raise RuntimeError(f"the sources' qualities still move after {rounds} rounds")
+    return facts.join(believed(quality), "pattern").drop("pattern")
 
 
 def survivor_facts(people: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -78,16 +93,12 @@ def survivor_facts(people: DataFrame, crosswalk: DataFrame) -> DataFrame:
     said = rows.select("ch_id", "source", "received_at", "idx", F.inline(each)).where("value is not null")
     said = said.groupBy("ch_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max(F.struct(F.col("received_at").alias("at"), "idx")).alias("last"))
     said = stash(said, "p4-said")
-    names = sorted(r[0] for r in said.select("source").distinct().collect())
-    number = {n: i + 1 for i, n in enumerate(names)}
-    code = F.element_at(F.create_map(*[x for n, i in number.items() for x in (F.lit(n), F.lit(i))]), F.col("source")) if names else F.lit(0)
-    said = said.withColumn("s", code)
-    facts = said.groupBy("ch_id", "field", "value").agg(F.sum("n").alias("n_rows"), F.max("last").alias("last"), F.collect_set("s").alias("yes"))
-    present = said.groupBy("ch_id", "field").agg(F.collect_set("s").alias("all"))
+    facts = said.groupBy("ch_id", "field", "value").agg(F.sum("n").alias("n_rows"), F.max("last").alias("last"), F.collect_set("source").alias("yes"))
+    present = said.groupBy("ch_id", "field").agg(F.collect_set("source").alias("all"))
     facts = facts.join(present, ["ch_id", "field"]).withColumn("no", F.array_except("all", "yes")).drop("all")
     facts = stash(facts, "p4-facts")
     letters = F.length(F.regexp_replace("value", r"[^\p{L}]", ""))
-    return latent_truth(facts, len(names)).select("ch_id", "field", "value", "n_rows", letters.alias("letters"), F.col("last.at").alias("last_at"), F.col("last.idx").alias("last_idx"), "p_true")
+    return latent_truth(facts).select("ch_id", "field", "value", "n_rows", letters.alias("letters"), F.col("last.at").alias("last_at"), F.col("last.idx").alias("last_idx"), "p_true")
 
 
 def survivors(people: DataFrame, crosswalk: DataFrame) -> DataFrame:

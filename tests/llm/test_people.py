@@ -1,3 +1,5 @@
+import random
+
 from kinforge.llm import matching, spellings, survivors
 from kinforge.llm.nameparts import Person, Speller, edits
 
@@ -131,3 +133,24 @@ def test_survivors(spark):
     assert survivors.survivors(p, x.limit(0)).count() == 0
     facts = survivors.survivor_facts(p, x).collect()
     assert all(0 < r["p_true"] < 1 for r in facts) and {r["value"] for r in facts if r["field"] == "zipcode"} == {"60601", "60602"}
+
+
+def test_planted_sources_are_recovered(spark):
+    rng = random.Random(11)
+    sens = {"f1": 0.95, "f2": 0.9, "f3": 0.8, "f4": 0.6, "f5": 0.9, "f6": 0.7}
+    spec = {"f1": 0.98, "f2": 0.9, "f3": 0.95, "f4": 0.9, "f5": 0.7, "f6": 0.97}
+    rows = []
+    for g in range(1500):
+        for v, true in (("t", True), ("u", g % 3 == 0), ("x", False), ("y", False)):  # every third group has two true values
+            yes = [s for s in sens if rng.random() < (sens[s] if true else 1 - spec[s])]
+            if yes:
+                rows.append((f"{g}{v}", true, yes, [s for s in sens if s not in yes]))
+    facts = survivors.latent_truth(spark.createDataFrame(rows, "fact string, truth boolean, yes array<string>, no array<string>")).collect()
+    assert sum((r["p_true"] >= 0.5) == r["truth"] for r in facts) / len(facts) > 0.97
+    for s in sens:
+        stated, left = [r["p_true"] for r in facts if s in r["yes"]], [r["p_true"] for r in facts if s in r["no"]]
+        assert abs(sum(stated) / (sum(stated) + sum(left)) - sens[s]) < 0.04
+        # false values that no source states are unseen, so specificity is checked against what was planted among those seen
+        seen = [r for r in facts if not r["truth"]]
+        assert abs(sum(1 - p for p in left) / (sum(1 - p for p in stated) + sum(1 - p for p in left)) - sum(s in r["no"] for r in seen) / len(seen)) < 0.04
+    assert survivors.latent_truth(spark.createDataFrame([], "fact string, yes array<string>, no array<string>")).count() == 0
