@@ -69,10 +69,11 @@ def results(a: DataFrame, b: DataFrame | None, config: MatchConfig) -> DataFrame
 
 
 def counts(found: DataFrame) -> DataFrame:
-    """(passnum, strictness, n_matches); passnum 'all' sums over the passes."""
-    long = found.select("passnum", F.inline(F.array(*[F.struct(F.lit(level).alias("strictness"), F.col(f"match_{level}").cast("bigint").alias("m")) for level in LEVELS])))
-    each = long.groupBy("passnum", "strictness").agg(F.sum("m").alias("n_matches"))
-    return each.unionByName(each.groupBy("strictness").agg(F.sum("n_matches").alias("n_matches")).withColumn("passnum", F.lit("all")))
+    """(passnum, strictness, n_matches); passnum 'all' sums over the passes. found is read once: flags are summed by pass, the few
+    sums are then turned into rows."""
+    sums = found.rollup("passnum").agg(*[F.sum(F.col(f"match_{level}").cast("bigint")).alias(level) for level in LEVELS], F.grouping("passnum").alias("_all"))
+    named = sums.where("_all = 0 or strict is not null").select(F.when(F.col("_all") == 1, "all").otherwise(F.col("passnum")).alias("passnum"), *LEVELS)
+    return named.unpivot("passnum", LEVELS, "strictness", "n_matches")
 
 
 def first_per_pair(found: DataFrame) -> DataFrame:

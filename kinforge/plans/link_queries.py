@@ -127,8 +127,8 @@ def _results(spark, d: str, dedup: bool) -> DataFrame:
 
 
 def _found(spark, d: str, dedup: bool) -> DataFrame:
-    """Results as a run has them: written once, read by several consumers."""
-    return stash(_results(spark, d, dedup), "results")
+    """Results as a run has them, without the scores: written once, read by several consumers."""
+    return stash(_results(spark, d, dedup).select("passnum", "pass_order", "indv_id_a", "indv_id_b", "idx_a", "idx_b", *res.FLAGS, "weight"), "results")
 
 
 _SHOWN = ["idx_a", "idx_b", *res.FLAGS]
@@ -147,7 +147,7 @@ _COUNTS = " union all ".join(f"select passnum, '{level}' strictness, match_{leve
 
 @query(f"{L.results(True)}, long as ({_COUNTS}) select passnum, strictness, cast(sum(cast(m as int)) as bigint) n_matches from long group by all union all select 'all', strictness, cast(sum(cast(m as int)) as bigint) from long group by all")
 def accept_counts(spark, d):
-    return res.counts(_found(spark, d, True)).select("passnum", "strictness", "n_matches")
+    return res.counts(_results(spark, d, True)).select("passnum", "strictness", "n_matches")
 
 
 @query(f"{L.results(True)} select indv_id_a, indv_id_b, passnum, idx_a, idx_b from (select *, row_number() over (partition by indv_id_a, indv_id_b order by round(weight, 9) desc, pass_order, idx_a, idx_b) r from found) where r = 1")
@@ -156,12 +156,13 @@ def pair_first_seen(spark, d):
     return res.first_per_pair(found).select("indv_id_a", "indv_id_b", "passnum", "idx_a", "idx_b")
 
 
-def _sample_sql() -> str:
+def _sample_sql(name: str | None = None) -> str:
     parts = []
     for stricter, laxer in report.STEPS:
         for side, where, key in (("in", f"match_{stricter}", "w"), ("out", f"match_{laxer} and not match_{stricter}", "-w")):
             parts.append(f"select '{stricter}_{laxer}' cutoff, '{side}' side, passnum, cast(r as int) rank, idx_a, idx_b from (select *, row_number() over (partition by passnum order by {key}, indv_id_a, indv_id_b, idx_a, idx_b) r from w where {where}) where r <= 100")
-    return f"{L.results(True)}, w as (select *, round(weight, 9) w from found) {' union all '.join(parts)}"
+    sample = " union all ".join(parts)
+    return f"{L.results(True)}, w as (select *, round(weight, 9) w from found)" + (f", {name} as ({sample})" if name else f" {sample}")
 
 
 @query(_sample_sql())
@@ -170,11 +171,17 @@ def review_sample(spark, d):
     return report.review_sample(found).select("cutoff", "side", "passnum", "rank", "idx_a", "idx_b")
 
 
-@query()
+_RECORD = ["common_id", "fname", "mname", "lname", "altlname", "minitial", "xf", "xl", *[x for p in ("byear", "bmonth", "bday") for x in (f"{p}_txt", p)], "zipcode", "county"]
+# doubles are read as text by Spark and written so here: whole numbers with one digit after the point
+_SHOWN_RECORD = [f"printf('%.1f', {c}) {c}" if c in ("byear", "bmonth", "bday") else c for c in _RECORD]
+_RECORDS_SQL = " union all ".join(f"select cutoff, side, passnum, rank, '{x}' record, a.idx, a.indv_id, {', '.join(_SHOWN_RECORD)} from sample join a on a.idx = sample.idx_{x}" for x in "ab")
+
+
+@query(f"{_sample_sql('sample')} {_RECORDS_SQL}")
 def review_records(spark, d):
     """The records behind the review sample, one under the other."""
-    a = first(spark, d)
-    return report.review_records(report.review_sample(_found(spark, d, True)), a)
+    found = _found(spark, d, True).withColumn("weight", F.round("weight", 9))
+    return report.review_records(report.review_sample(found), first(spark, d))
 
 
 def _best_sql(one: str, many: str) -> str:
@@ -194,7 +201,20 @@ def resolve_m21(spark, d):
     return resolve.best_unique(_found(spark, d, False).withColumn("weight", F.round("weight", 9)), "b", "relaxed")
 
 
-@query()
+# weight by weight: r holds the ids settled so far with their weight, and under the key '' the number of the weight that was last
+_ONE_TO_ONE_SQL = f"""with recursive{L.results(False).removeprefix("with")},
+ p as (select 'a_' || indv_id_a a, 'b_' || indv_id_b b, round(weight, 9) w, arg_min(passnum, pass_order) passnum from found where match_relaxed group by all),
+ lv as (select w, row_number() over (order by w desc) n from (select distinct w from p)),
+ r(id, entry, n) using key (id) as (select '' id, cast('infinity' as double) entry, cast(0 as bigint) n union
+  select unnest(ids), w, n from (select [''] ids, lv.w w, lv.n n from r join lv on r.id = '' and lv.n = r.n + 1
+   union all select [p.a, p.b], p.w, lv.n from r join lv on r.id = '' and lv.n = r.n + 1 join p on p.w = lv.w left join recurring.r x on x.id = p.a left join recurring.r y on y.id = p.b where x.id is null and y.id is null)),
+ k as (select p.*, x.entry ea, y.entry eb from p join r x on x.id = a join r y on y.id = b),
+ free as (select *, count(*) over (partition by a) na, count(*) over (partition by b) nb from k where w = ea and w = eb),
+ late as (select a, b from k where w = ea and w < eb or w = eb and w < ea)
+ select substr(a, 3) indv_id_a, substr(b, 3) indv_id_b, passnum from free where na = 1 and nb = 1 and a not in (select a from late) and b not in (select b from late)"""
+
+
+@query(_ONE_TO_ONE_SQL)
 def resolve_121(spark, d):
     return resolve.one_to_one(_found(spark, d, False).withColumn("weight", F.round("weight", 9)), "relaxed")
 
@@ -322,15 +342,24 @@ def minitial(spark, d):
     return _raw(spark, d).select("idx", preprocess.minitial(F.col("mname")).alias("minitial"))
 
 
-@query()
+def _soundex_sql(c: str) -> str:
+    """Letters as digits (H and W, 7, are looked through; what is no letter ends a run like a vowel), runs of one digit once."""
+    codes = f"regexp_replace(translate(upper({c}), '123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '00000000001230127022455012623017202'), '[^0-9]', '0', 'g')"
+    runs = f"substr({codes}, 1, 1) || replace(substr({codes}, 2), '7', '')"
+    for digit in "123456":
+        runs = f"regexp_replace({runs}, '{digit}+', '{digit}', 'g')"
+    whole = f"upper(substr({c}, 1, 1)) || substr(replace(substr({runs}, 2), '0', ''), 1, 3)"
+    return f"trim(case when upper({c}) similar to '[A-Z].*' then {whole} else upper({c}) end, '0')"
+
+
+@query(f"select idx, {_soundex_sql('fname')} xf, {_soundex_sql('lname')} xl from preprocess_file_template")
 def soundex_keys(spark, d):
     return _raw(spark, d).select("idx", soundex_key(F.upper("fname")).alias("xf"), soundex_key(F.upper("lname")).alias("xl"))
 
 
-@query("select idx, translate(lname, 'ÉÖÁÑéöáñ  　“”’‐', 'EOANeoan ') lname from (select idx, lname from preprocess_file_template) where not regexp_matches(lname, '[  　]')")
+@query("select idx, regexp_replace(strip_accents(lname), '[^\\x00-\\x7F]', '', 'g') lname from preprocess_file_template")
 def accents(spark, d):
-    rows = _raw(spark, d).where("not lname rlike '[  　]'")
-    return rows.select("idx", remove_accents(F.col("lname")).alias("lname"))
+    return _raw(spark, d).select("idx", remove_accents(F.col("lname")).alias("lname"))
 
 
 @query()
