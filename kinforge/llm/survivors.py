@@ -15,7 +15,10 @@ by pattern, then by source; rounds go on until the qualities stand still.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,9 @@ from kinforge.session import drop_stash, stash
 #: What stands for a missing middle name.
 PLACEHOLDERS = ("NMN", "NMI", "NONE", "UNK", "UNKNOWN", "N/A", "NULL", "NO MIDDLE NAME", "NOT GIVEN", "XXX", "XX", "X", "TEST", "-", "MISSING", "BLANK")
 #: How far a source's quality may still move, and rounds within which that must be reached.
-TOLERANCE, ROUNDS = 1e-4, 200
+TOLERANCE, ROUNDS = 1e-4, 1000
+#: Patterns whose rounds one task takes on.
+PATTERNS_PER_TASK = 200_000
 #: Between the names of the sources of a pattern.
 SEPARATOR = "\0"
 #: Prior counts of the two Beta distributions (true positives, false negatives; true negatives, false positives) and of truth.
@@ -43,16 +48,18 @@ def zip5(c: Column) -> Column:
     return F.when(z.rlike(r"^\d{5}(-?\d{4})?$") & ~F.substring(z, 1, 5).rlike(r"^(\d)\1{4}$"), F.substring(z, 1, 5))
 
 
-def latent_truth(facts: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def latent_truth(facts: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, patterns_per_task: int = PATTERNS_PER_TASK) -> DataFrame:
     """facts with (yes, no: arrays of source names) -> the same with p_true, by expectation-maximisation until no source's
     sensitivity or specificity moves by more than tolerance; RuntimeError if that takes more than rounds.
 
-    Facts with equal yes and no are one pattern with a count, and only patterns take part in the rounds. Sources are rows of a
-    table, so neither their number nor that of the patterns is bounded; the driver sees one number a round."""
+    Facts with equal yes and no are one pattern with a count, and only patterns take part in the rounds: up to patterns_per_task
+    of them in one task, more as joins and aggregates. Sources are rows of a table, so neither their number nor that of the
+    patterns is bounded; the driver sees one number a round."""
     sets = [F.array_join(F.array_sort(c), SEPARATOR) for c in ("yes", "no")]
     facts = facts.withColumn("pattern", F.concat_ws(SEPARATOR + SEPARATOR, *sets))
     patterns = facts.groupBy("pattern").agg(F.first("yes").alias("yes"), F.first("no").alias("no"), F.count("*").alias("n"))
     saying = lambda c, y: F.transform(c, lambda s: F.struct(s.alias("source"), F.lit(y).alias("said")))
+    patterns = stash(patterns, "p4-counted")
     said = stash(patterns.select("pattern", "n", F.inline(F.concat(saying("yes", True), saying("no", False)))), "p4-patterns")
     (a1, a0), (b1, b0) = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
     quality = said.select("source").distinct().select("source", F.lit(a1 / (a1 + a0)).alias("sens"), F.lit(b1 / (b1 + b0)).alias("spec"))
@@ -62,6 +69,9 @@ def latent_truth(facts: DataFrame, tolerance: float = TOLERANCE, rounds: int = R
         logit = F.lit(math.log(PRIOR_TRUE / (1 - PRIOR_TRUE))) + F.sum(weight)
         return said.join(quality, "source").groupBy("pattern").agg((1 / (1 + F.exp(-logit))).alias("p_true"))
 
+    if patterns.count() <= patterns_per_task:
+        quality = stash(said.coalesce(1).mapInPandas(_maximised(tolerance, rounds), "source string, sens double, spec double"), "p4-quality")
+        return facts.join(believed(quality), "pattern").drop("pattern")
     quality = stash(quality, "p4-quality")
     for _ in range(rounds):
         p, n = F.col("p_true"), F.col("n")
@@ -71,14 +81,43 @@ def latent_truth(facts: DataFrame, tolerance: float = TOLERANCE, rounds: int = R
         old, quality = quality, stash(sums.select("source", sens.alias("sens"), spec.alias("spec")), "p4-quality")
         before = old.select("source", F.col("sens").alias("_s"), F.col("spec").alias("_t"))
         moved = quality.join(before, "source").agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("_s")), F.abs(F.col("spec") - F.col("_t"))))).first()[0]
+        drop_stash(old)
         if moved is None or moved <= tolerance:
             break
-        drop_stash(old)
     else:
-        raise RuntimeError(f"the sources' qualities still move after {rounds} rounds")
+        raise RuntimeError(_RESTLESS.format(rounds))
     return facts.join(believed(quality), "pattern").drop("pattern")
 
 
+_RESTLESS = "the sources' qualities still move after {} rounds"
+
+
+def _maximised(tolerance: float, rounds: int):
+    """(pattern, n, source, said) of all patterns -> the sources' qualities, by the same rounds in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"pattern": [], "n": [], "source": [], "said": []}), *batches])
+        names, source = np.unique(rows["source"].to_numpy(str), return_inverse=True)
+        _, pattern = np.unique(rows["pattern"].to_numpy(str), return_inverse=True)
+        n, said = rows["n"].to_numpy(float), rows["said"].to_numpy(bool)
+        (a1, a0), (b1, b0) = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
+        sens, spec = np.full(len(names), a1 / (a1 + a0)), np.full(len(names), b1 / (b1 + b0))
+        for _ in range(rounds if len(names) else 0):
+            weight = np.where(said, np.log(sens / (1 - spec))[source], np.log((1 - sens) / spec)[source])
+            p = 1 / (1 + np.exp(-(math.log(PRIOR_TRUE / (1 - PRIOR_TRUE)) + np.bincount(pattern, weight))))[pattern]
+            total = lambda which, part: np.bincount(source, np.where(which, n * part, 0.0), len(names))
+            tp, fn, tn, fp = total(said, p), total(~said, p), total(~said, 1 - p), total(said, 1 - p)
+            was, sens, spec = (sens, spec), (tp + a1) / (tp + fn + a1 + a0), (tn + b1) / (tn + fp + b1 + b0)
+            if max(np.abs(sens - was[0]).max(), np.abs(spec - was[1]).max()) <= tolerance:
+                break
+        else:
+            if len(names):
+                raise RuntimeError(_RESTLESS.format(rounds))
+        yield pd.DataFrame({"source": names, "sens": sens, "spec": spec})
+
+    return run
+
+
 def survivor_facts(people: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """(ch_id, field, value, n_rows, letters, last_at, last_idx, p_true) for each usable value of mname and zipcode in a
     group with at least two different ids. The source of a record is the file it came in: the first seven characters of

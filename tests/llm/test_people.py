@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from kinforge.llm import matching, spellings, survivors
 from kinforge.llm.nameparts import Person, Speller, edits
 
@@ -145,7 +147,12 @@ def test_planted_sources_are_recovered(spark):
             yes = [s for s in sens if rng.random() < (sens[s] if true else 1 - spec[s])]
             if yes:
                 rows.append((f"{g}{v}", true, yes, [s for s in sens if s not in yes]))
-    facts = survivors.latent_truth(spark.createDataFrame(rows, "fact string, truth boolean, yes array<string>, no array<string>")).collect()
+    df = spark.createDataFrame(rows, "fact string, truth boolean, yes array<string>, no array<string>")
+    facts = survivors.latent_truth(df).collect()
+    by_joins = {r["fact"]: r["p_true"] for r in survivors.latent_truth(df, 0.01, patterns_per_task=0).collect()}
+    assert all(abs(by_joins[r["fact"]] - r["p_true"]) < 0.05 for r in facts)
+    with pytest.raises(Exception, match="still move"):
+        survivors.latent_truth(df, rounds=2).count()
     assert sum((r["p_true"] >= 0.5) == r["truth"] for r in facts) / len(facts) > 0.97
     for s in sens:
         stated, left = [r["p_true"] for r in facts if s in r["yes"]], [r["p_true"] for r in facts if s in r["no"]]
