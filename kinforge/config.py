@@ -23,6 +23,7 @@ class DatasetSpec:
     options: dict[str, str] = field(default_factory=dict)
 
 
+# The default passes, comparisons, parameters and thresholds.
 def _default_blocks() -> list[list[str]]:
     return [["common_id", "fname", "lname", "byear", "bmonth", "bday"], ["common_id"], ["xf", "xl"], ["xf_inv", "xl_inv"], ["byear", "bmonth", "bday"]]
 
@@ -57,7 +58,9 @@ def _default_params() -> dict[str, dict]:
 @dataclass
 class MatchConfig:
     """One run. Passes are numbered from 0; an empty list skips a pass and keeps the exclusion of earlier ones, unless
-    reset_on_empty_pass. Exclusion follows SQL's three-valued logic, unless null_safe_exclusion."""
+    reset_on_empty_pass. Exclusion follows SQL's three-valued logic, unless null_safe_exclusion. With empty_equals_empty
+    exact comparisons take two empty texts as equal instead of missing. rules_path names a file (or a folder with
+    accept_functions.py) with acceptance rules of this run."""
 
     match_type: str = "dedup"
     blocks_by_pass: list[list[str]] = field(default_factory=_default_blocks)
@@ -66,7 +69,9 @@ class MatchConfig:
     thresholds: dict[str, float] = field(default_factory=lambda: {"name_high": 0.88, "name_very_high": 0.90, "id_high": 0.75, "name_review": 0.80, "id_review": 0.65})
     ground_truth_ids: list[str] = field(default_factory=list)
     block_columns: dict[str, str] = field(default_factory=lambda: {p: f"{p}_txt" for p in ("byear", "bmonth", "bday")})
+    rules_path: str = ""
     null_safe_exclusion: bool = False
+    empty_equals_empty: bool = False
     reset_on_empty_pass: bool = False
     datasets: list[DatasetSpec] = field(default_factory=list)
 
@@ -79,6 +84,11 @@ class MatchConfig:
     def dedup(self) -> bool:
         return self.match_type == "dedup"
 
+    def params(self, name: str) -> dict:
+        """The parameters of a comparison in this run."""
+        given = self.sim_param[name]
+        return {**given, "empty_equals_empty": True} if self.empty_equals_empty and given["comparer"] == "exact" else given
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
 

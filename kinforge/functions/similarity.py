@@ -73,7 +73,7 @@ def levenshtein(left: Column, right: Column, p: Params) -> Column:
 
 
 def exact(left: Column, right: Column, p: Params) -> Column:
-    a, b = _present(left), _present(right)
+    a, b = (left, right) if p.get("empty_equals_empty") else (_present(left), _present(right))
     return F.when(a.isNull() | b.isNull(), F.lit(float(p["missing_value"]))).when(a == b, 1.0).otherwise(0.0)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
+import re
+import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +21,13 @@ class Scores:
 
     made: frozenset[str]
     thresholds: dict[str, float]
+    missed: set[str] = field(default_factory=set)
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(name) if name in self.made else F.lit(None).cast("double")
+        if name not in self.made:
+            self.missed.add(name)
+            return F.lit(None).cast("double")
+        return F.col(name)
 
     def cut(self, name: str) -> float:
         return self.thresholds.get(name, 1.0)
@@ -180,11 +188,31 @@ def _p4_review(s: Scores) -> Column:
     return (s.at_least("lname", cut) & s.at_least("common_id", "id_review")) | _names(s, STRAIGHT, cut)
 
 
+def load_rules(path: str) -> dict[tuple[int, str], Rule]:
+    """Rules of the caller's own from a Python file, or from accept_functions.py in a folder: a function accept_p<pass>_<level>(scores)
+    for each pass and level that it replaces. They hold for the run that names the file and leave RULES as it is."""
+    at = Path(path)
+    at = at / "accept_functions.py" if at.is_dir() else at
+    spec = importlib.util.spec_from_file_location(f"rules_{abs(hash(str(at)))}", at)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    named = {n: re.fullmatch(rf"accept_p(\d+)_({'|'.join(LEVELS)})", n) for n in dir(module)}
+    return {(int(m[1]), m[2]): getattr(module, n) for n, m in named.items() if m}
+
+
+def rules_of(config: MatchConfig) -> dict[tuple[int, str], Rule]:
+    return {**RULES, **load_rules(config.rules_path)} if config.rules_path else RULES
+
+
 def level_columns(number: int, made: list[str], config: MatchConfig) -> dict[str, Column]:
-    """_<level> of a pass: the rule of each level for itself. They become columns before flags read them, so that no rule is
-    copied into the plan more often than needed."""
-    s = Scores(frozenset(made), config.thresholds)
-    return {f"_{level}": RULES[number, level](s) if (number, level) in RULES else F.lit(False) for level in LEVELS}
+    """_<level>: what a pass's rule for the level says, without the stricter ones. A rule that asks for a comparison that wasn't
+    made takes it as false, with a warning."""
+    scores = Scores(frozenset(made), config.thresholds)
+    rules = rules_of(config)
+    columns = {f"_{level}": rules[number, level](scores) for level in LEVELS if (number, level) in rules}
+    if scores.missed:
+        warnings.warn(f"pass {number}: rules ask for comparisons that aren't made: {', '.join(sorted(scores.missed))}", stacklevel=2)
+    return {f"_{level}": columns.get(f"_{level}", F.lit(False)) for level in LEVELS}
 
 
 def flags() -> dict[str, Column]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from kinforge.functions.cleaning import clean_fname, clean_lname, soundex_key
 from kinforge.session import stash
 
+# The columns of a person table, in order.
 OUTPUT = ("source_id", "fname", "xf", "mname", "minitial", "lname", "xl", "altlname", "suffix", "byear", "bmonth", "bday", "zipcode", "county")
 
 
@@ -29,6 +31,20 @@ class PreprocessSpec:
     file_num: str = ""
     aliases: bool = True
     other_ids: list[str] = field(default_factory=list)
+    #: Take the last name's suffix only, even where it is missing.
+    suffix_of_last_only: bool = False
+
+    def __post_init__(self) -> None:
+        parts = [s for s in ("byear", "bmonth", "bday") if s in self.vars]
+        if not self.dob and len(parts) == 3 and len({self.vars[s] for s in parts}) == 1:  # several birth parts in one column are a date
+            self.dob, self.vars = self.vars["byear"], {k: v for k, v in self.vars.items() if k not in parts}
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=1)
+
+    @classmethod
+    def from_json(cls, text: str) -> PreprocessSpec:
+        return cls(**json.loads(text))
 
 
 def rename(df: DataFrame, vars: dict[str, str]) -> DataFrame:
@@ -112,7 +128,7 @@ def cleaned(df: DataFrame, spec: PreprocessSpec) -> DataFrame:
     first = clean_fname(F.col("fname"), F.col("mname"), spec.bad_first_names)
     last = clean_lname(F.col("lname"), F.col("altlname"), [*spec.bad_first_names, *spec.bad_last_names])
     df = df.withColumn("_f", first).withColumn("_l", last)
-    out = df.withColumns({"fname": F.col("_f.fname"), "mname": F.col("_f.mname"), "altfname": F.col("_f.altfname"), "lname": F.col("_l.lname"), "altlname": F.col("_l.altlname"), "suffix": F.coalesce("_l.suffix", "_f.suffix")})
+    out = df.withColumns({"fname": F.col("_f.fname"), "mname": F.col("_f.mname"), "altfname": F.col("_f.altfname"), "lname": F.col("_l.lname"), "altlname": F.col("_l.altlname"), "suffix": F.col("_l.suffix") if spec.suffix_of_last_only else F.coalesce("_l.suffix", "_f.suffix")})
     return out.drop("_f", "_l")
 
 
@@ -132,7 +148,8 @@ def preprocess(raw: DataFrame, spec: PreprocessSpec) -> DataFrame:
 
 
 def combine(frames: list[DataFrame], order: list[str] | None = None) -> DataFrame:
-    """Several person tables in one, without repeated rows, with idx in the order of the given columns (all by default)."""
+    """Several person tables (new ones and those of earlier runs) in one, without repeated rows, with idx in the order of the
+    given columns (all by default); a column that a table hasn't is NULL in its rows."""
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames).drop("idx").distinct()
     return indexed(whole, [*(order or []), *[c for c in whole.columns if c not in (order or [])]])
 

@@ -34,6 +34,25 @@ def group_sizes(xwalk: DataFrame) -> DataFrame:
     return xwalk.groupBy("ch_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
+def final_matches(xwalk: DataFrame, match_type: str) -> DataFrame:
+    """A written crosswalk as matches: (id, match) for 121 and M21 by side a, for 12M by side b; (group_id, id) for M2M, ids marked by
+    their side, and for dedup, groups of more than one id."""
+    if match_type in ("121", "M21"):
+        return xwalk.select(F.col("indv_id_a").alias("id"), F.col("indv_id_b").alias("match"))
+    if match_type == "12M":
+        return xwalk.select(F.col("indv_id_b").alias("id"), F.col("indv_id_a").alias("match"))
+    if match_type == "M2M":
+        ends = F.array(F.concat("indv_id_a", F.lit("_a")), F.concat("indv_id_b", F.lit("_b")))
+        return xwalk.select(F.col("ch_id").alias("group_id"), F.explode(ends).alias("id")).distinct()
+    several = xwalk.groupBy("ch_id").agg(F.countDistinct("orig_id").alias("n")).where("n > 1").select("ch_id")
+    return xwalk.join(several, "ch_id").select(F.col("ch_id").alias("group_id"), F.col("orig_id").alias("id")).distinct()
+
+
+def widths(df: DataFrame) -> DataFrame:
+    """One row: the greatest length of each column's values as text, at least that of its name."""
+    return df.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0))).alias(c) for c in df.columns])
+
+
 def rates(per_level: dict[str, DataFrame]) -> DataFrame:
     """One row for each level, of match_rate or dedup_rate results."""
     return reduce(DataFrame.unionByName, per_level.values())
@@ -47,19 +66,21 @@ def join_to_original(original: DataFrame, xwalk: DataFrame, id_col: str, xwalk_i
 
 def review_sample(found: DataFrame, size: int = 100) -> DataFrame:
     """Around each cutoff and in each pass: the size lightest pairs of the stricter level (side 'in') and the size heaviest
-    that only the laxer level accepts ('out'). Two-stage top-k: each partition keeps its best before the windows meet."""
-    frames = []
+    that only the laxer level accepts ('out'). found is read once, each pair under the at most three cutoffs that it is near;
+    two-stage top-k: every partition keeps its best before the windows meet."""
+    near = []
     for stricter, laxer in STEPS:
-        inside = found.where(F.col(f"match_{stricter}")).withColumn("_key", F.col("weight"))
-        outside = found.where(F.col(f"match_{laxer}") & ~F.col(f"match_{stricter}")).withColumn("_key", -F.col("weight"))
-        for side, df in (("in", inside), ("out", outside)):
-            per = Window.partitionBy("passnum").orderBy("_key", "indv_id_a", "indv_id_b", "idx_a", "idx_b")
-            local = Window.partitionBy("passnum", "_salt").orderBy("_key", "indv_id_a", "indv_id_b", "idx_a", "idx_b")
-            df = df.withColumn("_salt", F.pmod(F.xxhash64("idx_a", "idx_b"), F.lit(64)))
-            df = df.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= size)
-            df = df.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= size)
-            frames.append(df.select(F.lit(f"{stricter}_{laxer}").alias("cutoff"), F.lit(side).alias("side"), "passnum", "rank", "weight", "indv_id_a", "indv_id_b", "idx_a", "idx_b"))
-    return reduce(DataFrame.unionByName, frames)
+        inside, outside = F.col(f"match_{stricter}"), F.col(f"match_{laxer}") & ~F.col(f"match_{stricter}")
+        key = F.when(inside, F.col("weight")).when(outside, -F.col("weight"))
+        near.append(F.struct(F.lit(f"{stricter}_{laxer}").alias("cutoff"), F.when(inside, "in").otherwise("out").alias("side"), key.alias("_key")))
+    ids = ("indv_id_a", "indv_id_b", "idx_a", "idx_b")
+    each = found.select("passnum", "weight", *ids, F.inline(F.array(*near))).where("_key is not null")
+    order = ("_key", *ids)
+    each = each.withColumn("_part", F.spark_partition_id())
+    best = F.row_number().over(Window.partitionBy("cutoff", "side", "passnum", "_part").orderBy(*order))
+    some = each.withColumn("_r", best).where(F.col("_r") <= size)
+    rank = F.row_number().over(Window.partitionBy("cutoff", "side", "passnum").orderBy(*order))
+    return some.withColumn("rank", rank).where(F.col("rank") <= size).select("cutoff", "side", "passnum", "rank", "weight", *ids)
 
 
 def review_records(sample: DataFrame, a: DataFrame, b: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +22,14 @@ def score_columns(config: MatchConfig) -> list[str]:
 
 
 def valid_comparisons(names: list[str], config: MatchConfig, a: DataFrame, b: DataFrame) -> list[str]:
-    """The comparisons whose inputs both sides have."""
+    """The comparisons whose inputs both sides have; a warning names the others."""
     ok = []
     for n in names:
         left, right = inputs(n, config.sim_param[n]["comparer"])
         if set(left) <= set(a.columns) and set(right) <= set(b.columns):
             ok.append(n)
+    if len(ok) < len(names):
+        warnings.warn(f"comparisons without their columns on both sides are left out: {', '.join(n for n in names if n not in ok)}", stacklevel=2)
     return ok
 
 
@@ -44,7 +47,7 @@ def weight(config: MatchConfig, order: Column) -> Column:
 
 def scored_pass(pairs: DataFrame, passnum: str, order: int, made: list[str], config: MatchConfig) -> DataFrame:
     ids = [F.col(f"{s}_{c}").alias(f"{c}_{s}") for c in ("indv_id", "idx") for s in ("a", "b")]
-    scores = [compare(n, config.sim_param[n]).alias(n) for n in made]
+    scores = [compare(n, config.params(n)).alias(n) for n in made]
     return pairs.select(F.lit(passnum).alias("passnum"), F.lit(order).alias("pass_order"), *ids, *scores)
 
 

@@ -184,8 +184,8 @@ def review_records(spark, d):
     return report.review_records(report.review_sample(found), first(spark, d))
 
 
-def _best_sql(one: str, many: str) -> str:
-    return f"""{L.results(False)}, w as (select *, round(weight, 9) w from found where match_relaxed),
+def _best_sql(one: str, many: str, level: str = "relaxed") -> str:
+    return f"""{L.results(False)}, w as (select *, round(weight, 9) w from found where match_{level}),
  t as (select *, max(w) over (partition by indv_id_{many}) m from w),
  u as (select indv_id_{many} many, min(indv_id_{one}) lo, max(indv_id_{one}) hi, cast(min(pass_order) as varchar) passnum from t where w = m group by 1)
  select {'lo' if one == 'a' else 'many'} indv_id_a, {'many' if one == 'a' else 'lo'} indv_id_b, passnum from u where lo = hi"""

@@ -13,6 +13,21 @@ from kinforge.session import stash
 from kinforge.sources.files import load_dataset, write_csv, write_table
 
 
+def crosswalks(found: DataFrame, a: DataFrame, config: MatchConfig) -> dict[str, DataFrame]:
+    """The crosswalk of each level."""
+    return {level: stash(crosswalk(found, config.match_type, level, a.select("indv_id")), "crosswalk") for level in LEVELS}
+
+
+def level_rates(made: dict[str, DataFrame], a: DataFrame, b: DataFrame | None, config: MatchConfig) -> DataFrame | None:
+    """One row for each level; None for M2M, which has no rate."""
+    if config.match_type == "M2M":
+        return None
+    if config.dedup:
+        return rates({level: dedup_rate(x, level) for level, x in made.items()})
+    many = b if config.match_type == "12M" else a
+    return rates({level: match_rate(x, many, "indv_id", level) for level, x in made.items()})
+
+
 def run(spark: SparkSession, config: MatchConfig, out: str | None = None) -> dict[str, DataFrame]:
     """results, counts, crosswalk_<level> and rates; written under out if it is given.
 
@@ -21,17 +36,11 @@ def run(spark: SparkSession, config: MatchConfig, out: str | None = None) -> dic
     a, b = sides[0], sides[1] if len(sides) > 1 else None
     found = stash(results(a, b, config), "results")
     made = {"results": ordered(found), "counts": counts(found)}
-    per_level = {}
-    for level in LEVELS:
-        xwalk = stash(crosswalk(found, config.match_type, level, a.select("indv_id")), "crosswalk")
-        made[f"crosswalk_{level}"] = xwalk
-        if config.dedup:
-            per_level[level] = dedup_rate(xwalk, level)
-        elif config.match_type != "M2M":
-            many = b if config.match_type == "12M" else a
-            per_level[level] = match_rate(xwalk, many, "indv_id", level)
-    if per_level:
-        made["rates"] = rates(per_level)
+    per_level = crosswalks(found, a, config)
+    made |= {f"crosswalk_{level}": x for level, x in per_level.items()}
+    rated = level_rates(per_level, a, b, config)
+    if rated is not None:
+        made["rates"] = rated
     if out:
         for name, df in made.items():
             (write_csv if name == "rates" else write_table)(df, f"{out}/{name}")

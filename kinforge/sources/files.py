@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinforge.config import DatasetSpec
 from kinforge.operators.preprocess import indexed, split_dob_text, strip_control
+from kinforge.operators.results import ordered
 
 #: Sources of the caller's own, by name: session in, table out.
 PLUGINS: dict[str, Callable[[SparkSession], DataFrame]] = {}
@@ -42,10 +43,39 @@ def read_excel(spark: SparkSession, path: str, columns: list[str] | None = None)
     """Sheets are small and read on the driver; needs pandas with an Excel engine."""
     import pandas as pd
 
-    pdf = pd.read_excel(path, dtype=str, usecols=columns)
+    pdf = pd.read_excel(path, dtype=str, usecols=list(dict.fromkeys(columns)) if columns else None)
     return spark.createDataFrame(pdf.where(pdf.notna(), None), ", ".join(f"`{c}` string" for c in pdf.columns))
 
 
+def read_jdbc(spark: SparkSession, table: str, **options: str) -> DataFrame:
+    """A database table; with partitionColumn, numPartitions and, if known, lowerBound and upperBound in parallel ranges. Bounds
+    that aren't given are asked of the database first."""
+    reader = lambda t, more: spark.read.format("jdbc").options(**more, dbtable=t).load()
+    column = options.get("partitionColumn")
+    if column and not {"lowerBound", "upperBound"} <= set(options):
+        plain = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions", "lowerBound", "upperBound")}
+        low, high = reader(f"(select min({column}) lo, max({column}) hi from {table}) bounds", plain).first()
+        if low is None:
+            return reader(table, plain)
+        options = {**options, "lowerBound": str(low), "upperBound": str(high)}
+    return reader(table, options)
+
+
+def earlier(spark: SparkSession, tables: list[str] = (), csvs: list[str] = ()) -> list[DataFrame]:
+    """Person tables of earlier runs, by path or name of a table, and by path of a CSV."""
+    return [spark.read.parquet(t) if "/" in t else spark.table(t) for t in tables] + [read_csv(spark, c) for c in csvs]
+
+
+def latest(spark: SparkSession, folder: str, *parts: str) -> str:
+    """The path of the newest file or table in folder whose name contains all parts; of equally new ones the last by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [(f.getModificationTime(), f.getPath().getName(), f.getPath().toString()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    named = [f for f in found if all(p in f[1] for p in parts)]
+    if not named:
+        raise FileNotFoundError(f"nothing in {folder} is named with {', '.join(parts)}")
+    return max(named)[2]
+
+
 def load_raw(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """All columns of a dataset, by its file type."""
     if spec.name in PLUGINS and spec.filetype == "plugin":
@@ -59,7 +89,7 @@ def load_raw(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     if spec.filetype == "table":
         return spark.table(spec.path)
     if spec.filetype == "jdbc":
-        return spark.read.format("jdbc").options(**spec.options, dbtable=spec.path).load()
+        return read_jdbc(spark, spec.path, **spec.options)
     if spec.filetype == "excel":
         return read_excel(spark, spec.path, list(spec.vars.values()) or None)
     raise ValueError(f"unknown file type {spec.filetype}")
@@ -102,5 +132,19 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.na.fill("", texts).write.mode(mode).parquet(path)
 
 
+def write_scored(found: DataFrame, path: str) -> None:
+    """Scored pairs as CSV, heaviest first: parts in the order of their names are one sorted sequence."""
+    write_csv(ordered(found), path)
+
+
+def save_groups(groups: DataFrame, path: str, group: str = "group_id", item: str = "item") -> None:
+    """(group, item) of a grouping as CSV."""
+    write_csv(groups.select(F.col(group).alias("group_id"), F.col(item).alias("item")), path)
+
+
+def load_groups(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path).select("group_id", "item")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True)
