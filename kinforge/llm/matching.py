@@ -18,14 +18,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.nameparts import Person, speller_of
-from kinforge.llm.spellings import birth_key, name_statistics
-from kinforge.session import small, stash
+from kinforge.llm.namebatch import FIELDS, Names, Slices, gathered, mixed, number
+from kinforge.llm.personrows import NO_YEAR, name_statistics, numbers, parts, text
+from kinforge.session import drop_stash, small, stash
 
 #: Bits of the key bitmap: 2 MB to 64 MB, by the number of keys.
 LEAST_BITS, MOST_BITS = 24, 29
@@ -33,16 +32,15 @@ LEAST_BITS, MOST_BITS = 24, 29
 FLOOR = -4.0
 #: How far a factor allows a second match: of a record with another person, of a row with another record.
 RIVAL_PERSON, RIVAL_RECORD = 0.02, 0.15
-ROUNDS, TOLERANCE = 8, 0.01
-_COLUMNS = ("fname", "mname", "lname", "altlname", "suffix", "birth", "zip", "county")
+#: How far messages may still move; rounds in which that must be reached, the first of them undamped.
+TOLERANCE, ROUNDS, UNDAMPED = 0.01, 100, 6
+#: Records or pairs that one batch compares.
+BATCH = 60_000
 
 
 def _prepared(df: DataFrame, id_col: str, county: Column) -> DataFrame:
-    has = set(df.columns)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in has else F.lit("")
-    zip5 = F.regexp_extract(text("zipcode"), r"^\s*(\d{5})", 1)
-    zip5 = F.when(zip5.rlike(r"^(\d)\1{4}$"), "").otherwise(zip5)
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[text(c).alias(c) for c in _COLUMNS[:5]], birth_key(F.col("byear"), F.col("bmonth"), F.col("bday")).alias("birth"), zip5.alias("zip"), F.coalesce(county, F.lit("")).alias("county"))
+    """id, the five names, born (see personrows), zip and county as numbers, 0 where missing."""
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[text(df, c).alias(c) for c in FIELDS], *numbers(df, county))
 
 
 def county_name(c: Column) -> Column:
@@ -50,46 +48,55 @@ def county_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\b(county|co|cnty)\b\.?|[^\p{L}\p{N} ]", ""))
 
 
-def keys(p: Person, birth: str, zip5: str, turned: bool) -> list[str]:
-    """The blocking keys of a record; turned: also those with month and day exchanged."""
-    fields = ["".join(f) for f in p.units]
-    if len(fields) == 1 and len(p.units[0]) > 1:
-        fields = [p.units[0][0], p.units[0][-1]]
-    if not fields:
-        return []
-    first, last = fields[0], fields[-1]
-    y, m, d = birth.split("-")
-    out = []
-    both = ["/".join(sorted((first[:1], last[:3]))), "/".join(sorted((first[:3], last[:1])))]
-    if both[0] == both[1]:
-        both = both[:1]
-    for a, b in ((m, d), (d, m)) if turned and m != d else ((m, d),):
-        if y and a and b:
-            at = f"{y}-{a}-{b}"
-            out += [f"{at}|{x}" for x in {first[:3], last[:3], first[:1] + "/" + last[:1] if first < last else last[:1] + "/" + first[:1]}]
-    for at in ((f"{y}-{m}-*" if y and m else ""), (f"{y}-*-{d}" if y and d else ""), (f"*-{m}-{d}" if m and d else "")):
-        if at:
-            out += [f"{at}|{x}" for x in both]
-    if zip5:
-        out.append(f"{zip5}|" + "/".join(sorted((first[:3], last[:3]))))
-    return out
-
-
-def _keyed(turned: bool, bitmap=None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def keys(names: Names, born: np.ndarray, zips: np.ndarray, turned: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys): the blocking keys of a batch of records; turned: also those with month and day exchanged.
+
+    All birth parts with the beginning of either name or both initials; two of them with both beginnings, or with the zip code and
+    either beginning; the zip code with both. Another family name stands in for the last name in each."""
+    y, m, d = parts(born)
+    has_y, has_m, has_d = y < NO_YEAR, m > 0, d > 0
+    first, last = names.ends()
+    w = names.words
+    begin = lambda of, n: np.where(of >= 0, w.begin(n)[of], 0) if len(w.texts) else np.zeros(len(of), np.int64)
+    rows, out = [], []
+
+    def add(which: np.ndarray, *values) -> None:
+        at = np.flatnonzero(which)
+        rows.append(at)
+        out.append(mixed(*[v[at] if isinstance(v, np.ndarray) else v for v in values]))
+
+    f1, f3 = begin(first, 1), begin(first, 3)
+    two = ((1, has_y & has_m, y, m), (2, has_y & has_d, y, d), (3, has_m & has_d, m, d))
+    for kind, other, named in ((0, last, (first >= 0) & (last >= 0)), (1, names.of_other, (first >= 0) & (names.of_other >= 0))):
+        l1, l3 = begin(other, 1), begin(other, 3)
+        all_three = named & has_y & has_m & has_d
+        for p, q, which in ((m, d, all_three), (d, m, all_three & (m != d) & turned)):
+            if kind == 0:
+                add(which, 10, y, p, q, f3)
+            add(which & ((kind == 1) | (l3 != f3)), 10, y, p, q, l3)
+            add(which, 11, y, p, q, np.minimum(f1, l1), np.maximum(f1, l1))
+        for k, which, p, q in two:
+            add(named & which, 20 + k, p, q, np.minimum(f3, l3), np.maximum(f3, l3))
+            if kind == 0:
+                add(named & which & (zips > 0), 30 + k, zips, p, q, f3)
+            add(named & which & (zips > 0) & ((kind == 1) | (l3 != f3)), 30 + k, zips, p, q, l3)
+        add(named & (zips > 0), 40, zips, np.minimum(f3, l3), np.maximum(f3, l3))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _keyed(id_type: str, turned: bool, bitmap=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        for pdf in batches:
-            at, hashes = [], []
-            for i, (fname, lname, suffix, birth, zip5) in enumerate(zip(*[pdf[c].tolist() for c in ("fname", "lname", "suffix", "birth", "zip")])):
-                some = keys(Person(fname, "", lname, "", suffix), birth, zip5, turned)
-                at += [i] * len(some)
-                hashes += [xxhash.xxh64_intdigest(k) for k in some]
-            h, at = np.array(hashes, np.uint64), np.array(at, np.int64)
+        for t in gathered(batches, BATCH):
+            none = pa.nulls(t.num_rows, pa.string())
+            names = Names([t["fname"], none, t["lname"], t["altlname"], t["suffix"]])
+            at, h = keys(names, number(t["born"]), number(t["zip"]), turned)
             if bits is not None and len(h):
                 slot = h & np.uint64(len(bits) * 8 - 1)
                 hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 h, at = h[hit], at[hit]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "key": h.view(np.int64)})
+            out = pa.table({"id": t["id"].take(pa.array(at)), "key": h.view(np.int64)})
+            yield from out.to_batches(BATCH)
 
     return run
 
@@ -105,112 +112,113 @@ def _bitmap(keyed: DataFrame) -> bytes:
     return whole.tobytes()
 
 
+class Shares:
+    """How rare the values of a kind are: - log of their share of the records, by number."""
+
+    def __init__(self, of: dict[int, float], otherwise: float):
+        self.values = np.array(sorted(of), np.int64)
+        self.logs = np.array([-math.log(of[int(v)]) for v in self.values] + [-math.log(otherwise)])
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.full(len(values), self.logs[-1])
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        return np.where(self.values[at] == values, self.logs[at], self.logs[-1])
+
+
 class Evidence:
     """Log-likelihood ratios of agreement, from the shares of values among the first source's records."""
 
-    def __init__(self, names: dict[str, float], shares: dict[str, float], records: int):
-        self.names, self.shares, self.speller = names, shares, speller_of(names)
+    def __init__(self, names: dict[str, float], shares: dict[tuple[str, int], float], records: int):
+        self.names = names
+        of = lambda kind, otherwise: Shares({v: s for (k, v), s in shares.items() if k == kind}, otherwise)
+        self.year, self.zip, self.county = of("y", 0.005), of("z", 0.002), of("c", 0.01)
         self.prior = -math.log(max(records, 10))
         self.rare = math.log(1 / 1.5e-4)
 
-    def rarity(self, words: list[str]) -> float:
-        return max((-math.log(self.names[w]) if w in self.names else self.rare for w in words if len(w) > 1), default=3.0)
-
-    def name(self, a: Person, b: Person) -> float | None:
-        """None if the names can't be one person's."""
-        s = self.speller
-        there = s.cover(a, b)
-        back = s.cover(b, a) if there < 1 else 0.0
-        agree = max(there, back)
-        if agree < 0.5 and not s.new_surname(a, b):
-            return None
-        middle = s.middle(a, b)
-        if middle < 0:
-            return None
-        total = 0.0
-        if agree >= 0.5:
-            if there < back:
-                a, b = b, a
-            for field in a.units:
-                whole = s.found(field, b)
-                if whole == 0.6 or len("".join(field)) == 1:
-                    total += 0.6
-                else:
-                    total += min(self.rarity(field), 8.0) - (0.1 if whole == 1 else 2.0 if whole >= 0.8 else 3.0 if whole >= 0.65 else 4.5)
-        else:
-            total += self.rarity(a.first) - 4.5
-        if middle > 0:
-            full = [w for w in a.middle if len(w) > 2 and any(len(v) > 2 and s.alike(w, v) >= 0.7 for v in b.middle)]
-            total += min(self.rarity(full), 5.0) - 0.5 if full else 2.2
-        if a.other and b.other:
-            total += 3.5 if any(s.alike(x, y) >= 0.75 for x in a.other for y in b.other) else -0.5
-        return total
-
-    def share(self, kind: str, value: str, otherwise: float) -> float:
-        return -math.log(self.shares.get(kind + value, otherwise))
-
-    def birth(self, a: str, b: str) -> float:
-        (y1, m1, d1), (y2, m2, d2) = a.split("-"), b.split("-")
-        total = 0.0
-        if y1 and y2:
-            total += self.share("y", y1, 0.005) - 0.15 if y1 == y2 else -1.6 if abs(int(y1) - int(y2)) in (1, 99) else -3.2
-        if m1 and d1 and m1 == d2 and d1 == m2 and m1 != d1:
-            return total + 5.9 - 2.8
-        if m1 and m2:
-            total += 2.4 if m1 == m2 else -2.6
-        if d1 and d2:
-            total += 3.3 if d1 == d2 else -2.2
-        return total
-
-    def place(self, zip_a: str, zip_b: str, county_a: str, county_b: str) -> float:
-        total = 0.0
-        if zip_a and zip_b:
-            total += min(self.share("z", zip_a, 0.002), 6.0) - 0.5 if zip_a == zip_b else -1.0
-        if county_a and county_b and not (zip_a and zip_a == zip_b):
-            total += min(self.share("c", county_a, 0.01), 4.0) - 0.4 if county_a == county_b else -1.3
+    def name(self, names: Names, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The names' part; NaN if they can't be one person's."""
+        w = names.words
+        rarity = np.fromiter((-math.log(self.names[t]) if t in self.names else self.rare for t in w.texts), float, len(w.texts))
+        rarity = np.where(w.sizes > 1, rarity, -1.0)
+
+        def rarest(lists: Slices) -> np.ndarray:
+            out = np.full(len(lists.at) - 1, -1.0)
+            np.maximum.at(out, lists.owners(), rarity[lists.values])
+            return np.where(out < 0, 3.0, out)
+
+        of_unit = np.stack([rarest(p) for p in (names.first, names.last, names.rest)], axis=1)
+        letters = np.stack([np.where(f >= 0, w.sizes[f], 0) if len(w.texts) else f for f in (names.of_first, names.of_last, names.of_rest)], axis=1)
+        there, unit = names.found(i, j)
+        back, other = names.found(j, i)
+        turned = there < back
+        unit = np.where(turned[:, None], other, unit)
+        side = np.where(turned, j, i)
+        loss = np.select([unit >= 1, unit >= 0.8, unit >= 0.65], [0.1, 2.0, 3.0], 4.5)
+        each = np.where((np.abs(unit - 0.6) < 1e-6) | (letters[side] == 1), 0.6, np.minimum(of_unit[side], 8.0) - loss)
+        total = np.where(np.isnan(unit), 0.0, each).sum(axis=1)
+        apart = np.flatnonzero(np.maximum(there, back) < 0.5)
+        total[apart] = np.where(names.new_surnames(i[apart], j[apart]), of_unit[i[apart], 0] - 4.5, np.nan)
+        middle = names.middles(i, j)
+        total[middle < 0] = np.nan
+        agree = np.flatnonzero((middle > 0) & ~np.isnan(total))
+        x, y, at = names._crossed(names.middle.take(i[agree]), names.middle.take(j[agree]))
+        full = np.full(len(agree), -1.0)
+        if len(x):
+            fits = (w.sizes[x] > 2) & (w.sizes[y] > 2) & (names.comparer.alike(x, y) >= 0.7)
+            np.maximum.at(full, at[fits], rarity[x[fits]])
+        total[agree] += np.where(full >= 0, np.minimum(full, 5.0) - 0.5, 2.2)
+        both = np.flatnonzero((names.of_other[i] >= 0) & (names.of_other[j] >= 0) & ~np.isnan(total))
+        total[both] += np.where(names.most(names.other, i[both], names.other, j[both]) >= 0.75, 3.5, -0.5)
         return total
 
-    def of(self, a: tuple, b: tuple, pa: Person, pb: Person) -> float | None:
-        name = self.name(pa, pb)
-        return None if name is None else self.prior + name + self.birth(a[5], b[5]) + self.place(a[6], b[6], a[7], b[7])
-
-
-def _scored(names: dict[str, float], shares: dict[str, float], records: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        evidence, known = Evidence(names, shares, records), {}
-
-        def person(r: tuple) -> Person:
-            got = known.get(r[:5])
-            if got is None:
-                if len(known) > 200_000:
-                    known.clear()
-                got = known[r[:5]] = Person(*r[:5])
-            return got
-
-        for pdf in batches:
-            out = []
-            left = zip(*[pdf[f"a_{c}"].tolist() for c in _COLUMNS])
-            right = zip(*[pdf[f"b_{c}"].tolist() for c in _COLUMNS])
-            for i, j, a, b in zip(pdf["ida"].tolist(), pdf["idb"].tolist(), left, right):
-                e = evidence.of(a, b, person(a), person(b))
-                if e is not None and e > FLOOR:
-                    out.append((i, j, a[5], e))
-            yield pd.DataFrame(out, columns=["ida", "idb", "birth", "evidence"])
+    def birth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (y1, m1, d1), (y2, m2, d2) = parts(a), parts(b)
+        year = np.where(y1 == y2, self.year(y1) - 0.15, np.where(np.isin(np.abs(y1 - y2), (1, 99)), -1.6, -3.2))
+        year = np.where((y1 < NO_YEAR) & (y2 < NO_YEAR), year, 0.0)
+        month = np.where((m1 > 0) & (m2 > 0), np.where(m1 == m2, 2.4, -2.6), 0.0)
+        day = np.where((d1 > 0) & (d2 > 0), np.where(d1 == d2, 3.3, -2.2), 0.0)
+        turned = (m1 > 0) & (d1 > 0) & (m1 == d2) & (d1 == m2) & (m1 != d1)
+        return year + np.where(turned, 5.9 - 2.8, month + day)
+
+    def place(self, zip_a: np.ndarray, zip_b: np.ndarray, county_a: np.ndarray, county_b: np.ndarray) -> np.ndarray:
+        same = (zip_a > 0) & (zip_a == zip_b)
+        total = np.where((zip_a > 0) & (zip_b > 0), np.where(same, np.minimum(self.zip(zip_a), 6.0) - 0.5, -1.0), 0.0)
+        county = np.where(county_a == county_b, np.minimum(self.county(county_a), 4.0) - 0.4, -1.3)
+        return total + np.where((county_a > 0) & (county_b > 0) & ~same, county, 0.0)
+
+
+def _scored(names: dict[str, float], shares: dict[tuple[str, int], float], records: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(names, shares, records)
+        for t in gathered(batches, BATCH):
+            sides, at = [], []
+            for s in "ab":  # each record of the batch is parsed once
+                codes = t[f"id{s}"].combine_chunks().dictionary_encode().indices.to_numpy()
+                _, rows = np.unique(codes, return_index=True)
+                sides.append(rows)
+                at.append(codes)
+            columns = [pa.chunked_array([*t[f"a_{c}"].take(pa.array(sides[0])).chunks, *t[f"b_{c}"].take(pa.array(sides[1])).chunks], pa.string()) for c in FIELDS]
+            parsed = Names(columns, names)
+            total = evidence.birth(number(t["a_born"]), number(t["b_born"])) + evidence.place(*[number(t[c]) for c in ("a_zip", "b_zip", "a_county", "b_county")])
+            total += evidence.prior + evidence.name(parsed, at[0].astype(np.int64), at[1].astype(np.int64) + len(sides[0]))
+            keep = pa.array(np.flatnonzero(total > FLOOR))
+            yield from pa.table({"ida": t["ida"].take(keep), "idb": t["idb"].take(keep), "birth": t["a_born"].take(keep), "evidence": total[keep]}).to_batches()
 
     return run
 
 
-def candidates(a: DataFrame, b: DataFrame, names: dict[str, float], shares: dict[str, float], records: int) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, names: dict[str, float], shares: dict[tuple[str, int], float], records: int) -> DataFrame:
     """(ida, idb, birth of a, evidence): the pairs that a key brings together, with evidence above FLOOR."""
     types = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
-    key_b = stash(b.select("id", "fname", "lname", "suffix", "birth", "zip").mapInPandas(_keyed(True), f"id {types[1]}, key bigint"), "p6-keys")
+    some = ("id", "fname", "lname", "altlname", "suffix", "born", "zip")
+    key_b = stash(b.select(*some).mapInArrow(_keyed(types[1], True), f"id {types[1]}, key bigint"), "p6-keys")
     bitmap = a.sparkSession.sparkContext.broadcast(_bitmap(key_b))
-    key_a = a.select("id", "fname", "lname", "suffix", "birth", "zip").mapInPandas(_keyed(False, bitmap), f"id {types[0]}, key bigint")
+    key_a = a.select(*some).mapInArrow(_keyed(types[0], False, bitmap), f"id {types[0]}, key bigint")
     pairs = key_a.withColumnRenamed("id", "ida").join(key_b.withColumnRenamed("id", "idb"), "key").select("ida", "idb").distinct()
-    pairs = stash(pairs, "p6-pairs")
-    side = lambda df, s: df.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{s}_{c}") for c in _COLUMNS])
-    full = pairs.join(side(a, "a"), "ida").join(small(stash(side(b, "b"), "p6-b")), "idb")
-    return full.mapInPandas(_scored(names, shares, records), f"ida {types[0]}, idb {types[1]}, birth string, evidence double")
+    side = lambda df, s: df.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "born", "zip", "county")])
+    full = pairs.join(small(side(b, "b")), "idb").join(side(a, "a"), "ida")
+    return full.mapInArrow(_scored(names, shares, records), f"ida {types[0]}, idb {types[1]}, birth int, evidence double")
 
 
 def propagate(pairs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -225,7 +233,7 @@ def propagate(pairs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
     state = marked.where("_a is not null or _b is not null").select("ida", "idb", "birth", "evidence", F.lit(0.0).alias("to_b"), F.lit(0.0).alias("to_a"))
     odds = lambda c: F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c)))
     room = lambda s, soft: F.log((1 + soft * s) / (1 + s))
-    for _ in range(rounds):
+    for n in range(rounds):
         believed = state.withColumn("o", odds(F.col("evidence") + F.col("to_a")))
         of_person = believed.groupBy("idb", "birth").agg(F.max("o").alias("mine"))
         of_record = of_person.groupBy("idb").agg(F.sum("mine").alias("all"))
@@ -234,11 +242,17 @@ def propagate(pairs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
         new = new.withColumn("o", odds(F.col("evidence") + F.col("new_b")))
         of_row = new.groupBy("ida").agg(F.sum("o").alias("all"))
         new = new.join(of_row, "ida").withColumn("new_a", room(F.greatest(F.lit(0.0), F.col("all") - F.col("o")), RIVAL_RECORD))
+        if n >= UNDAMPED:  # messages that swing to and fro meet half way
+            new = new.withColumns({"new_a": (F.col("new_a") + F.col("to_a")) / 2, "new_b": (F.col("new_b") + F.col("to_b")) / 2})
         new = stash(new.select("ida", "idb", "birth", "evidence", "to_b", "to_a", "new_b", "new_a"), "p6-messages")
         moved = new.agg(F.max(F.greatest(F.abs(F.col("new_b") - F.col("to_b")), F.abs(F.col("new_a") - F.col("to_a"))))).first()[0]
+        if n:
+            drop_stash(state)
         state = new.select("ida", "idb", "birth", "evidence", F.col("new_b").alias("to_b"), F.col("new_a").alias("to_a"))
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"the messages still move by {moved} after {rounds} rounds")
     belief = state.select("ida", "idb", (F.col("evidence") + F.col("to_b") + F.col("to_a")).alias("evidence")).unionByName(alone)
     return belief.select("ida", "idb", (1 / (1 + F.exp(-F.col("evidence")))).alias("probability"))
 
@@ -254,9 +268,10 @@ def match(a: DataFrame, b: DataFrame, counties: DataFrame, id_a: str = "idx", id
     right = stash(_prepared(b, id_b, county_name(F.col("county"))), "p6-right")
     established, _ = name_statistics(a, ["fname", "mname", "lname", "altlname"])
     records = a.count()
-    kinds = F.array(F.concat(F.lit("y"), F.split("birth", "-")[0]), F.concat(F.lit("z"), "zip"), F.concat(F.lit("c"), "county"))
-    common = left.select(F.explode(kinds).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where((F.col("n") >= max(20, 5e-4 * records)) & (F.length("v") > 1))
-    shares = {r["v"]: r["n"] / records for r in common.collect()}
+    year = F.shiftright("born", 14)
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in (("y", F.when(year < NO_YEAR, year)), ("z", F.nullif("zip", F.lit(0))), ("c", F.nullif("county", F.lit(0))))])
+    common = left.select(F.inline(kinds)).where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, 5e-4 * records))
+    shares = {(r["k"], r["v"]): r["n"] / records for r in common.collect()}
     found = propagate(candidates(left, right, established, shares, records))
     return found.where(F.col("probability") >= least).groupBy("ida", "idb").agg(F.max("probability").alias("probability"))
 
