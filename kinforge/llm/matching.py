@@ -215,9 +215,10 @@ def candidates(a: DataFrame, b: DataFrame, names: dict[str, float], shares: dict
     key_b = stash(b.select(*some).mapInArrow(_keyed(types[1], True), f"id {types[1]}, key bigint"), "p6-keys")
     bitmap = a.sparkSession.sparkContext.broadcast(_bitmap(key_b))
     key_a = a.select(*some).mapInArrow(_keyed(types[0], False, bitmap), f"id {types[0]}, key bigint")
-    pairs = key_a.withColumnRenamed("id", "ida").join(key_b.withColumnRenamed("id", "idb"), "key").select("ida", "idb").distinct()
+    pairs = key_a.withColumnRenamed("id", "ida").join(key_b.withColumnRenamed("id", "idb"), "key").select("ida", "idb").repartition(F.col("ida")).distinct()
     side = lambda df, s: df.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "born", "zip", "county")])
-    full = pairs.join(small(side(b, "b")), "idb").join(side(a, "a"), "ida")
+    # pairs are already placed by ida, so only the rows of a move; b's rows come last, where they are few by a broadcast
+    full = pairs.join(side(a, "a"), "ida").join(small(side(b, "b")), "idb")
     return full.mapInArrow(_scored(names, shares, records), f"ida {types[0]}, idb {types[1]}, birth int, evidence double")
 
 

@@ -336,6 +336,36 @@ class Names:
             first[one], last[one] = p.values[p.at[one]], p.values[p.at[one + 1] - 1]
         return first, last
 
+    @cached_property
+    def letter_sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which letters the units of each record have, and which all its words have, as bits."""
+        w = self.words
+        mask = np.append(w.mask, np.uint64(0))
+        units = mask[self.of_first] | mask[self.of_last] | mask[self.of_rest]  # -1 is the last, no letters
+        met = np.zeros(len(self.n_units), np.uint64)
+        np.bitwise_or.at(met, self.met.owners(), w.mask[self.met.values])
+        return units, met
+
+    def letters_fit(self, i: np.ndarray, j: np.ndarray, most: int = 3) -> np.ndarray:
+        """Whether the units of one record have at most so many letters that the other hasn't at all, or full middle names begin alike."""
+        units, met = self.letter_sets
+        fit = (np.bitwise_count(units[i] & ~met[j]) <= most) | (np.bitwise_count(units[j] & ~met[i]) <= most)
+        w = self.words
+        letter = np.where((self.of_middle >= 0) & (w.sizes[self.of_middle] >= 3), w.first[self.of_middle], -1) if len(w.texts) else np.full(len(units), -1)
+        return fit | (letter[i] >= 0) & (letter[i] == letter[j])
+
+    @cached_property
+    def plain_text(self) -> np.ndarray:
+        """A number for each word that is the same in every batch."""
+        w = self.words
+        out = np.zeros(max(len(w.texts), 1), np.int64)
+        for k in range(w.letters.shape[1] if len(w.texts) else 0):
+            out = mixed(out, w.letters[:, k].astype(np.int64)).view(np.int64)
+        for i in np.flatnonzero(w.sizes > LETTERS):  # all letters of the few that are longer
+            for c in w.texts[i][LETTERS:]:
+                out[i] = mixed(out[i : i + 1], ord(c)).view(np.int64)[0]
+        return out
+
     @cached_property
     def comparer(self) -> Comparer:
         return Comparer(self.words, self.established)
