@@ -3,9 +3,10 @@
 Only terms that can start a match are posted. The corpus frequency of every passage term is counted over all documents;
 each window of min_run passage words is represented by its two rarest terms, and only these terms get postings (document,
 position). A posting minus the term's offset in the passage is the diagonal on which a match must lie; only diagonals
-that two terms agree on go on. On every such diagonal the passage's remaining terms, moved by it, are intersected with the document's positions, which gives the
-longest run of consecutive words exactly, and the words that match near it. Passage terms are broadcast only below a
-size that is checked; the corpus is never shuffled as a whole.
+that two terms agree on, give or take a few words, go on. For each of them the stretch of the document where the passage would stand is cut out of the
+document's words once and compared with the passage in place, which gives the longest run of consecutive words exactly, where it
+is, and the words that match near it. Passage terms are broadcast only below a
+size that is checked; the corpus is never shuffled as a whole, and neither are the positions of its words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from kinforge.session import small, stash
 MIN_RUN = 12
 #: Diagonals that far apart still count as one place for proximity matches.
 SLOP = 3
+#: Share of a passage's words that must stand near their place for a proximity match.
+NEAR_SHARE = 0.6
 
 
 def words(text: Column) -> Column:
@@ -26,15 +29,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(seen, r"[^\p{L}\p{N}\p{M}]+", " "), " "), lambda w: w != "")
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_run: int = MIN_RUN, slop: int = SLOP) -> DataFrame:
-    """(doc_id, item_id, longest_run, near_words): documents with at least min_run consecutive words of a passage.
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_run: int = MIN_RUN, slop: int = SLOP, near_share: float = NEAR_SHARE) -> DataFrame:
+    """(doc_id, item_id, kind, longest_run, near_words, n_words, item_word, doc_word): kind 'phrase' for documents with at least min_run
+    consecutive words of a passage, 'proximity' for others in which at least near_share of the passage's words stand near their place.
 
-    longest_run is the greatest number of consecutive words in common; near_words the number of passage words found at
+    longest_run is the greatest number of consecutive words in common, beginning at item_word of the passage and doc_word of the
+    document (from 0; of several the first diagonal); near_words the number of passage words found at
     their place, give or take slop words, around the best place. Rows with NULL id or text, empty texts, and passages
     of fewer than min_run words give nothing. A repeated document or item counts once.
     """
-    asked = items.select(F.col(item_id).alias("item"), words(F.col(passage)).alias("w")).where(F.size("w") >= min_run)
-    terms = stash(asked.select("item", F.posexplode("w").alias("off", "word")).distinct(), "p8-terms")
+    asked = items.select(F.col(item_id).alias("item"), words(F.col(passage)).alias("w")).where(F.size("w") >= min_run).dropDuplicates(["item"])
+    asked = stash(asked, "p8-passages")
+    terms = stash(asked.select("item", F.posexplode("w").alias("off", "word")), "p8-terms")
     vocabulary = stash(terms.select("word").distinct(), "p8-vocabulary")
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     counts = docs.select(F.explode(words(F.col("t"))).alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("freq"))
@@ -43,23 +49,33 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, min_run - 1)
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("freq", "word", F.col("off").alias("at"))).over(ahead)), 1, 2)
     windows = known.select("item", "off", rarest.alias("r"), F.max("off").over(Window.partitionBy("item")).alias("last"))
-    windows = windows.where((F.col("off") + min_run - 1 <= F.col("last")) & (F.col("r")[0]["freq"] > 0))
-    anchors = stash(windows.select("item", F.inline("r")).select("item", F.col("at").alias("off"), "word").distinct(), "p8-anchors")
+    windows = windows.where((F.col("off") + min_run - 1 <= F.col("last")) & (F.col("r")[1 if min_run > 1 else 0]["freq"] > 0))
+    anchors = stash(windows.select("item", F.inline("r")).where("freq > 0").select("item", F.col("at").alias("off"), "word").distinct(), "p8-anchors")
     postings = docs.select("doc", F.posexplode(words(F.col("t"))).alias("pos", "word")).join(small(anchors), "word")
-    hits = postings.select("doc", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off").distinct()
-    # a whole window brings both its terms to its diagonal; a run of one word has but one
-    enough = min(2, min_run)
-    diagonals = stash(hits.groupBy("doc", "item", "diagonal").agg(F.count("*").alias("n")).where(F.col("n") >= enough).drop("n"), "p8-diagonals")
-    near = docs.join(diagonals.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(words(F.col("t"))).alias("pos", "word"))
-    expected = diagonals.join(small(terms), "item").select("doc", "item", "diagonal", "off", (F.col("off") + F.col("diagonal")).alias("pos"), "word").where("pos >= 0")
-    met = near.join(expected, ["doc", "pos", "word"]).select("doc", "item", "diagonal", "off").distinct()
-    line = Window.partitionBy("doc", "item", "diagonal")
-    runs = met.withColumn("island", F.col("off") - F.row_number().over(line.orderBy("off"))).groupBy("doc", "item", "diagonal", "island").agg(F.count("*").alias("n"))
-    places = runs.groupBy("doc", "item", "diagonal").agg(F.max("n").alias("run"), F.sum("n").alias("hits"))
+    hits = postings.select("doc", "item", (F.col("pos") - F.col("off")).alias("diagonal")).repartition(F.col("doc"), F.col("item"))
+    lines = hits.groupBy("doc", "item", "diagonal").agg(F.count("*").alias("n"))
+    # a whole window brings both its terms to its diagonal, a passage with words changed or put in brings them near it
+    beside = Window.partitionBy("doc", "item").orderBy("diagonal").rangeBetween(-slop, slop)
+    diagonals = lines.withColumn("n", F.sum("n").over(beside)).where(F.col("n") >= min(2, min_run)).select("doc", "item", "diagonal")
+    sizes = asked.select("item", F.size("w").alias("size"))
+    of_doc = diagonals.join(small(sizes), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "size")).alias("lines"))
+    of_doc = stash(of_doc, "p8-diagonals")
+    held = docs.join(small(of_doc.select("doc")), "doc", "left_semi").select("doc", words(F.col("t")).alias("w")).dropDuplicates(["doc"])
+    cut = lambda x: F.struct(x["item"].alias("item"), x["diagonal"].alias("diagonal"), F.slice("w", F.greatest(x["diagonal"], F.lit(0)) + 1, F.greatest(x["size"] + F.least(x["diagonal"], F.lit(0)), F.lit(0))).alias("piece"))
+    pieces = held.join(small(of_doc), "doc").select("doc", F.inline(F.transform("lines", cut))).join(small(asked.withColumnRenamed("w", "p")), "item")
+    begin = F.greatest(-F.col("diagonal"), F.lit(0))
+    agree = F.array_join(F.zip_with("piece", F.slice("p", begin + 1, F.size("piece")), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    places = pieces.select("doc", "item", "diagonal", F.size("p").alias("n_words"), begin.alias("begin"), agree.alias("agree"))
+    run = F.array_max(F.transform(F.split("agree", "0"), F.length))
+    places = places.withColumn("run", run).withColumn("hits", F.length(F.replace("agree", F.lit("0"), F.lit("")))).where("hits > 0")
+    places = places.withColumn("item_word", F.col("begin") + F.instr("agree", F.repeat(F.lit("1"), F.col("run"))) - 1)
     around = Window.partitionBy("doc", "item").orderBy("diagonal").rangeBetween(-slop, slop)
-    places = places.withColumn("near", F.sum("hits").over(around))
-    found = places.groupBy("doc", "item").agg(F.max("run").alias("longest_run"), F.max("near").alias("near_words")).where(F.col("longest_run") >= min_run)
-    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("longest_run").cast("bigint").alias("longest_run"), F.col("near_words").cast("bigint").alias("near_words"))
+    places = places.withColumn("near", F.least(F.sum("hits").over(around), F.col("n_words")))
+    best = F.max(F.struct(F.col("run").alias("run"), (-F.col("diagonal")).alias("first"), "item_word"))
+    found = places.groupBy("doc", "item").agg(best.alias("best"), F.max("near").alias("near"), F.max("n_words").alias("n_words"))
+    found = found.withColumn("kind", F.when(F.col("best.run") >= min_run, "phrase").when(F.col("near") >= near_share * F.col("n_words"), "proximity")).where("kind is not null")
+    long = lambda c: F.col(c).cast("bigint")
+    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "kind", long("best.run").alias("longest_run"), long("near").alias("near_words"), long("n_words").alias("n_words"), long("best.item_word").alias("item_word"), (F.col("best.item_word") - F.col("best.first")).cast("bigint").alias("doc_word"))
 
 
 def p8_matches(spark, sf_dir: str) -> DataFrame:
@@ -67,9 +83,9 @@ def p8_matches(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    return p8_matches(spark, sf_dir).select("doc_id", "item_id")
+    return p8_matches(spark, sf_dir).where("kind = 'phrase'").select("doc_id", "item_id")
 
 
 def p8_items(spark, sf_dir: str) -> DataFrame:
     """The items that leaked, with the number of pages that hold them."""
-    return p8_matches(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_pages"), F.max("longest_run").alias("longest_run"))
+    return p8_matches(spark, sf_dir).where("kind = 'phrase'").groupBy("item_id").agg(F.count("*").alias("n_pages"))

@@ -26,8 +26,8 @@ from kinforge.llm.namebatch import FIELDS, Names, Slices, gathered, mixed, numbe
 from kinforge.llm.personrows import NO_YEAR, name_statistics, numbers, parts, text
 from kinforge.session import drop_stash, small, stash
 
-#: Bits of the key bitmap: 2 MB to 64 MB, by the number of keys.
-LEAST_BITS, MOST_BITS = 24, 29
+#: Bits of the key bitmap: 2 MB to 64 MB, by the number of keys; about so many keys a record.
+LEAST_BITS, MOST_BITS, KEYS = 24, 29, 14
 #: Evidence below which a candidate is no match whatever its rivals.
 FLOOR = -4.0
 #: How far a factor allows a second match: of a record with another person, of a row with another record.
@@ -51,8 +51,8 @@ def county_name(c: Column) -> Column:
 def keys(names: Names, born: np.ndarray, zips: np.ndarray, turned: bool) -> tuple[np.ndarray, np.ndarray]:
     """(rows, keys): the blocking keys of a batch of records; turned: also those with month and day exchanged.
 
-    All birth parts with the beginning of either name or both initials; two of them with both beginnings, or with the zip code and
-    either beginning; the zip code with both. Another family name stands in for the last name in each."""
+    All birth parts with the beginning of either name or both initials; two of them with both beginnings; the month and another part with
+    the zip code and either beginning; the zip code with both. Another family name stands in for the last name in each."""
     y, m, d = parts(born)
     has_y, has_m, has_d = y < NO_YEAR, m > 0, d > 0
     first, last = names.ends()
@@ -77,6 +77,8 @@ def keys(names: Names, born: np.ndarray, zips: np.ndarray, turned: bool) -> tupl
             add(which, 11, y, p, q, np.minimum(f1, l1), np.maximum(f1, l1))
         for k, which, p, q in two:
             add(named & which, 20 + k, p, q, np.minimum(f3, l3), np.maximum(f3, l3))
+            if k == 2:
+                continue
             if kind == 0:
                 add(named & which & (zips > 0), 30 + k, zips, p, q, f3)
             add(named & which & (zips > 0) & ((kind == 1) | (l3 != f3)), 30 + k, zips, p, q, l3)
@@ -84,13 +86,16 @@ def keys(names: Names, born: np.ndarray, zips: np.ndarray, turned: bool) -> tupl
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _keyed(id_type: str, turned: bool, bitmap=None):
+def _keys_of(t: pa.Table, turned: bool) -> tuple[np.ndarray, np.ndarray]:
+    none = pa.nulls(t.num_rows, pa.string())
+    return keys(Names([t["fname"], none, t["lname"], t["altlname"], t["suffix"]]), number(t["born"]), number(t["zip"]), turned)
+
+
+def _keyed(turned: bool, bitmap=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for t in gathered(batches, BATCH):
-            none = pa.nulls(t.num_rows, pa.string())
-            names = Names([t["fname"], none, t["lname"], t["altlname"], t["suffix"]])
-            at, h = keys(names, number(t["born"]), number(t["zip"]), turned)
+            at, h = _keys_of(t, turned)
             if bits is not None and len(h):
                 slot = h & np.uint64(len(bits) * 8 - 1)
                 hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -101,14 +106,30 @@ def _keyed(id_type: str, turned: bool, bitmap=None):
     return run
 
 
-def _bitmap(keyed: DataFrame) -> bytes:
-    """One bit for the low bits of each key, in pieces of 4 KB from the executors."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (8 * keyed.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    rows = keyed.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+def _marked(bits: int):
+    """The pieces of 4 KB of a bitmap of all keys of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((1 << bits) // 8, np.uint8)
+        for t in gathered(batches, BATCH):
+            _, h = _keys_of(t, True)
+            slot = np.unique(h & np.uint64((1 << bits) - 1))
+            np.bitwise_or.at(whole, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
+        pieces = whole.reshape(-1, 4096)
+        some = np.flatnonzero(pieces.any(axis=1))
+        for at in range(0, len(some), 1024):
+            yield from pa.table({"b": some[at : at + 1024], "m": pa.array([pieces[k].tobytes() for k in some[at : at + 1024]], pa.binary())}).to_batches()
+
+    return run
+
+
+def _bitmap(b: DataFrame) -> bytes:
+    """One bit for the low bits of each key of b, joined from the tasks' bitmaps."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * KEYS * b.count()).bit_length()))
+    rows = b.mapInArrow(_marked(bits), "b bigint, m binary").groupBy("b").agg(F.bitmap_or_agg("m").alias("m")).collect()
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
-        whole[(r["b"] - 1) * 4096 :][:4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+        whole[r["b"] * 4096 :][:4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     return whole.tobytes()
 
 
@@ -212,9 +233,9 @@ def candidates(a: DataFrame, b: DataFrame, names: dict[str, float], shares: dict
     """(ida, idb, birth of a, evidence): the pairs that a key brings together, with evidence above FLOOR."""
     types = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
     some = ("id", "fname", "lname", "altlname", "suffix", "born", "zip")
-    key_b = stash(b.select(*some).mapInArrow(_keyed(types[1], True), f"id {types[1]}, key bigint"), "p6-keys")
-    bitmap = a.sparkSession.sparkContext.broadcast(_bitmap(key_b))
-    key_a = a.select(*some).mapInArrow(_keyed(types[0], False, bitmap), f"id {types[0]}, key bigint")
+    bitmap = a.sparkSession.sparkContext.broadcast(_bitmap(b.select(*some)))
+    key_b = b.select(*some).mapInArrow(_keyed(True), f"id {types[1]}, key bigint")
+    key_a = a.select(*some).mapInArrow(_keyed(False, bitmap), f"id {types[0]}, key bigint")
     pairs = key_a.withColumnRenamed("id", "ida").join(key_b.withColumnRenamed("id", "idb"), "key").select("ida", "idb").repartition(F.col("ida")).distinct()
     side = lambda df, s: df.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "born", "zip", "county")])
     # pairs are already placed by ida, so only the rows of a move; b's rows come last, where they are few by a broadcast

@@ -46,6 +46,7 @@ _LEAKS = f"select distinct doc_id, item_id from ({_RUNS.format('doc_id', _WORDS.
 SQL: dict[str, str] = {
     "p4_found": _SURVIVORS,
     "p8_found": _LEAKS,
+    "p8_items": f"select item_id, cast(count(*) as bigint) n_pages from ({_LEAKS}) group by 1",
     "p5_found": _GROUPS,
     "p5_group_sizes": f"select size, cast(count(*) as bigint) n_groups from (select group_id, count(*) size from ({_GROUPS}) group by 1) group by 1",
 }

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinforge.llm import matching, spellings, survivors
+from kinforge.llm.namebatch import Names
 from kinforge.llm.nameparts import Person, Speller, edits
 
 SPELLER = Speller({"diane": 0.01, "diana": 0.01, "smith": 0.02, "dorothy": 0.01, "lloyd": 0.01})
@@ -82,22 +85,70 @@ def test_spellings_across_births_without_equal_zip(spark):
 
 
 def test_block_size_does_not_change_links(spark):
-    # an initial with a short common last name and a long other one, against the full names with that last name mistyped
-    rows = [("L", None, "Smtih", "Wolfeschlegelzausenberg", None, "1950", "1", "2", "60601", "1"), ("Lloyd", "Bartholomew", "Smith", None, None, "1950", "1", "3", "60601", "1")]
-    rows += [("Luna", None, "Sorvino", None, None, "1970", "1", "9", "60601", "1")]
+    # an initial with a mistyped common last name against the full names: below the cosine, so no link, born on one day or a day apart
+    low = [("L", None, "Smtih", "Wolfeschlegelzausenberg", None, "1950", "1", "2", "60601", "1"), ("Lloyd", "Bartholomew", "Smith", None, None, "1950", "1", "3", "60601", "1"), ("Lloyd", "Bartholomew", "Smith", None, None, "1950", "1", "2", "60601", "1")]
+    # the same names, the last one typed alike: above it
+    high = [("L", None, "Quibble", None, None, "1961", "1", "2", "60601", "1"), ("Lloyd", "Bartholomew", "Quibble", None, None, "1961", "1", "3", "60601", "1")]
+    rows = [*low, *high, ("Luna", None, "Sorvino", None, None, "1970", "1", "9", "60601", "1")]
     rows += [("Lana", None, "Smith", None, None, str(1900 + i), "6", "28", None, None) for i in range(90)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PEOPLE)
-    assert groups(spellings.spellings(df)) == {frozenset({0, 1})}
-    assert groups(spellings.spellings(df, max_block=2)) == {frozenset({0, 1})}
+    assert groups(spellings.spellings(df)) == {frozenset({1, 2}), frozenset({3, 4})}
+    assert groups(spellings.spellings(df, max_block=2)) == {frozenset({1, 2}), frozenset({3, 4})}
+
+
+def columns(people):
+    return [pa.array(c, pa.string()) for c in zip(*people)]
 
 
 def test_cosines_are_the_true_ones():
-    people = [Person(f, None, last, None) for f in ("Lloyd", "Loyd", "Dorothy", "Doroteo", "Xena", "Roberta") for last in ("Tammez", "Tamez", "Smith", "Smyth", "Quibble")]
-    vectors = spellings.Vectors({})
-    grams = [vectors.of(p) for p in people]
+    people = [(f, None, last, None, None) for f in ("Lloyd", "Loyd", "Dorothy", "Doroteo", "Xena", "Roberta") for last in ("Tammez", "Tamez", "Smith", "Smyth", "Quibble")]
+    idf = {"^l": 0.5, "ll": 2.5, "^sm": 1.5, "th$": 0.7}
+    got = spellings.Vectors(Names(columns(people)), spellings._weights(idf))
+    grams = []
+    for f, _, last, _, _ in people:
+        of = {}
+        for w in (f"^{f.lower()}$", f"^{last.lower()}$"):
+            for g in {w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)}:
+                of[g] = of.get(g, 0) + idf.get(g, 2.5)
+        grams.append(of)
     norm = [sum(w * w for w in g.values()) ** 0.5 for g in grams]
-    cosine = lambda i, j: sum(w * grams[j].get(k, 0) for k, w in grams[i].items()) / norm[i] / norm[j]
-    assert set(vectors.cosines(people)) == {(i, j) for j in range(len(people)) for i in range(j) if cosine(i, j) >= spellings.COSINE}
+    i, j = np.triu_indices(len(people), 1)
+    want = [sum(w * grams[b].get(k, 0) for k, w in grams[a].items()) / norm[a] / norm[b] for a, b in zip(i, j)]
+    assert np.allclose(got.cosines(i, j), want)
+
+
+def test_names_in_arrays_are_compared_as_one_by_one():
+    rng = random.Random(2)
+    words = "Lloyd Llyod Loyd L Robert Bob Rob Roberta Robret Smith Smyth Smithson Smi Sm Anna Ann Anne O'Hara OHara Dorothy Dot Dr Jr II Unknown Diane Diana Éva Eva xx".split()
+    name = lambda most: rng.choice([None, "", *[" ".join(rng.choices(words, k=k)) for k in range(1, most + 1)]])
+    people = [(name(3), name(2), name(3), name(1), rng.choice([None, "", "Jr", "Smith"])) for _ in range(220)] + [("x" * 60, None, "y" * 55 + "z", None, None), ("x" * 59, None, "y" * 55, None, None)]
+    established = {"diane": 0.01, "diana": 0.01, "smith": 0.02, "robert": 0.01, "roberta": 0.01}
+    names, one = Names(columns(people), established), Speller(established)
+    parsed = [Person(*p) for p in people]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(people)), range(len(people))))
+    cover, middle = np.maximum(names.found(i, j)[0], names.found(j, i)[0]), names.middles(i, j)
+    changed, rare = names.new_surnames(i, j), names.rare_shared(i, j)
+    for a, b, c, m, s, r in zip(i, j, cover, middle, changed, rare):
+        want = one.same_name(parsed[a], parsed[b])
+        assert abs(want[0] - c) < 1e-5 and want[1] == m, (people[a], people[b], want, c, m)
+        assert one.new_surname(parsed[a], parsed[b]) == s
+        assert r == any(len(w) > 2 and w not in established and w in parsed[b].joined for w in parsed[a].joined)
+    assert len(Names(columns([(None,) * 5]), established).found(np.array([0]), np.array([0]))[0]) == 1
+
+
+def test_no_pair_depends_on_the_size_of_its_block(spark):
+    rng = random.Random(9)
+    first, last = ["Jonathan", "Jonathanael", "J", "Lloyd", "Loyd", "Lana", "Luna"], ["Lopezgarcia", "L", "Lopez", "Smith", "Smtih", "Sorvino"]
+    rows = [(rng.choice(first), rng.choice([None, "Ray", "R"]), rng.choice(last), rng.choice([None, "Wolfeschlegel"]), None, "1950", "1", str(rng.randint(12, 14)), rng.choice(["60601", "60602", None]), rng.choice(["1", "2"])) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PEOPLE)
+    got = [sorted(map(tuple, spellings.spellings(df, max_block=n).collect())) for n in (2, 100, 4096)]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_a_hot_group_of_copies_is_one_node(spark):
+    rows = [("Lloyd", "Ray", "Tammez", None, None, "1950", "1", "2", "60601", "1")] * 60 + [("Lloyd", "Ray", "Tamez", None, None, "1950", "1", "2", "60601", "1")]
+    got = spellings.spellings(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PEOPLE), max_block=4).collect()
+    assert len(got) == 61 and {r["person"] for r in got} == {0} and {r["spelling"] for r in got} == {0, 60}
 
 
 def test_spelling_classes(spark):
@@ -161,3 +212,26 @@ def test_planted_sources_are_recovered(spark):
         seen = [r for r in facts if not r["truth"]]
         assert abs(sum(1 - p for p in left) / (sum(1 - p for p in stated) + sum(1 - p for p in left)) - sum(s in r["no"] for r in seen) / len(seen)) < 0.04
     assert survivors.latent_truth(spark.createDataFrame([], "fact string, yes array<string>, no array<string>")).count() == 0
+
+
+def test_messages_settle_on_loops_or_say_so(spark):
+    rows = [(i, j, f"p{i}", 2.0 + (i == j)) for i in range(4) for j in range(4)]  # every record a rival of every other
+    df = spark.createDataFrame(rows, "ida long, idb long, birth string, evidence double")
+    got = {(r["ida"], r["idb"]): r["probability"] for r in matching.propagate(df).collect()}
+    assert len(got) == 16 and all(max(got[i, j] for j in range(4)) == got[i, i] for i in range(4))
+    with pytest.raises(RuntimeError, match="still move"):
+        matching.propagate(df, rounds=1)
+
+
+def test_probabilities_are_calibrated(spark):
+    # pairs of one record each: among pairs with evidence e, a share of 1 / (1 + exp(-e)) is right
+    rng = random.Random(3)
+    rows, right = [], {}
+    for k in range(3000):
+        e = rng.uniform(-3, 3)
+        rows.append((k, k, "p", e))
+        right[k] = rng.random() < 1 / (1 + np.exp(-e))
+    got = matching.propagate(spark.createDataFrame(rows, "ida long, idb long, birth string, evidence double")).collect()
+    for low in np.arange(0.1, 0.9, 0.2):
+        some = [(r["probability"], right[r["ida"]]) for r in got if low <= r["probability"] < low + 0.2]
+        assert abs(np.mean([p for p, _ in some]) - np.mean([x for _, x in some])) < 0.06

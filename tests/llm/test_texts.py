@@ -66,11 +66,28 @@ def test_leaks_against_brute_force(spark):
             best = max((next((n for n in range(min(len(a) - x, len(b) - y) + 1) if n == min(len(a) - x, len(b) - y) or a[x + n] != b[y + n])) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y]), default=0)
             if best >= 12 and d is not None:
                 want[d, i] = best
-    got = {(r["doc_id"], r["item_id"]): r["longest_run"] for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    rows = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).where("kind = 'phrase'").collect()
+    got = {(r["doc_id"], r["item_id"]): r["longest_run"] for r in rows}
+    for r in rows:  # the run is where it is said to be
+        there, passage = word(next(t for d, t in docs if d == r["doc_id"])), word(dict(items)[r["item_id"]])
+        n = r["longest_run"]
+        assert there[r["doc_word"] : r["doc_word"] + n] == passage[r["item_word"] : r["item_word"] + n] and r["n_words"] == len(passage)
     assert got == want and want
     assert leakage.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).count() == 0
 
 
+def test_proximity_matches(spark):
+    passage = [f"term{i}" for i in range(40)]
+    changed = [w if i % 8 else "other" for i, w in enumerate(passage)]  # no 12 in a row are left
+    spread = [*passage[:10], "put", "in", *passage[10:20], "more", *passage[20:30]]
+    few = [w if i % 3 == 0 else "other" for i, w in enumerate(passage)]
+    docs = [(1, " ".join(["lead"] * 50 + changed)), (2, " ".join(spread)), (3, " ".join(few)), (4, " ".join(passage[:11]))]
+    items = [(7, " ".join(passage)), (8, " ".join(f"far{i}" for i in range(20)))]
+    got = {r["doc_id"]: r for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    assert set(got) == {1, 2} and all(r["kind"] == "proximity" and r["item_id"] == 7 for r in got.values())
+    assert (got[1]["longest_run"], got[1]["near_words"], got[1]["doc_word"], got[1]["item_word"]) == (7, 35, 51, 1) and got[2]["near_words"] == 30
+
+
 def test_fill_keeps_proportions():
     rng = random.Random(1)
     items = [(q, rng.randrange(1, 300), i) for i, q in enumerate(["a"] * 400 + ["b"] * 200)]
