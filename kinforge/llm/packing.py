@@ -1,12 +1,13 @@
 """Texts into containers of a fixed number of tokens, with the sources mixed in target proportions.
 
-Texts are measured in tokens in Arrow batches. A text longer than a container is cut into full containers and a rest;
-nothing else is cut. Items are hashed into shards of about shard_tokens tokens, each packed by one call. A shard keeps
+Texts are measured in tokens in Arrow batches. A text longer than a container is cut into full pieces and a rest, all of which
+take their place in their source's queue; nothing else is cut. Items are hashed into shards of about shard_tokens tokens, each packed by one call. A shard keeps
 one queue for each source, sorted by size. Deficit round-robin: at each window (a number of containers) every queue is credited
 its share of the window's tokens; the next item comes from the queue with the greatest credit that has an item for the
 space left, and is the largest such item. What a window can't give a queue stays as its deficit for the next one.
 Across shards the deficits come from prefix sums over a small table of tokens by shard and source, so that shards
-are packed in parallel and still continue each other's mixture.
+are packed in parallel and still continue each other's mixture; at most half a window's share is carried, as a source with
+less than its target would owe without end.
 """
 
 from __future__ import annotations
@@ -92,64 +93,83 @@ def fill(items: list[tuple[str, int, int]], shares: dict[str, float], credit: di
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", queue: str = "lang", targets: dict[str, float] | None = None, capacity: int = CAPACITY, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece, queue, shard, container, window, start, n_tokens): where each piece of each text stands.
 
-    A container is named by (shard, container); full pieces of texts over capacity fill containers of their own, with
-    window -1. targets are the token proportions of the queues; by default those of the texts themselves. Queues that
+    A container is named by (shard, container). A text over capacity is cut into pieces of capacity, each of which fills a container of its
+    queue's turn, and a rest. targets are the token proportions of the queues; by default those of the texts themselves. Queues that
     targets leave out come last in a window. Every text comes out, empty ones with 0 tokens; rows with NULL id don't. Rows with
     the same id are packed each.
     """
     sized = stash(token_counts(df, id_col, text, queue, vocabulary), "p7-sized")
-    full = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0)
-    sized = sized.withColumn("n_full", full.cast("bigint")).withColumn("rest", F.col("n_tokens") - F.col("n_full") * capacity)
-    total = sized.agg(F.sum(F.greatest("rest", F.lit(8).cast("bigint")))).first()[0] or 0
+    full = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0).cast("bigint")
+    last = F.when(F.col("n_tokens") - full * capacity > 0, full).otherwise(F.greatest(full - 1, F.lit(0).cast("bigint")))
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")
+    pieces = sized.select("id", "queue", full.alias("n_full"), "n_tokens", piece)
+    size = F.when(F.col("piece") < F.col("n_full"), F.lit(capacity)).otherwise(F.col("n_tokens") - F.col("n_full") * capacity).cast("bigint")
+    total = sized.agg(F.sum(F.greatest("n_tokens", F.lit(8).cast("bigint")))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    rest = sized.where("rest > 0 or n_full = 0").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    table = rest.groupBy("shard", "queue").agg(F.sum("rest").alias("n"))
-    table = stash(table, "p7-mixture")
-    tokens = {r["queue"]: r["n"] for r in table.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    wanted = targets or {q: float(n) for q, n in tokens.items()}
-    whole = sum(wanted.get(q, 0.0) for q in tokens) or 1.0
-    shares = {q: wanted.get(q, 0.0) / whole for q in tokens}
-    credits = _credits(table, shares)
+    items = pieces.select("id", "piece", "queue", size.alias("size"), F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard"))
+    table = stash(items.groupBy("shard", "queue").agg(F.sum("size").alias("n")), "p7-mixture")
+    credits = _credits(table, targets)
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, pieces = left["id"].tolist(), left["piece"].tolist()
-        items = list(zip(left["queue"].tolist(), left["rest"].tolist(), ids))
-        credit = dict(zip(right["queue"].tolist(), right["credit"].tolist()))
+        items = list(zip(left["queue"].tolist(), left["size"].tolist(), ids))
+        shares = dict(zip(right["queue"], right["share"]))
+        # a queue that can't meet its target would owe ever more: half a window's share is carried at most
+        most = {q: s * window * capacity / 2 for q, s in shares.items()}
+        credit = {q: max(-most[q], min(most[q], c)) for q, c in zip(right["queue"], right["credit"])}
         rows = fill(items, shares, credit, capacity, window)
         return pd.DataFrame([(ids[i], pieces[i], items[i][0], key[0], c, w, s, items[i][1]) for i, c, w, s in rows], columns=_COLUMNS)
 
-    numbered = rest.select("shard", "queue", "rest", "id", F.col("n_full").alias("piece"))
-    packed = numbered.groupBy("shard").cogroup(credits.groupBy("shard")).applyInPandas(one, _SCHEMA)
-    whole_pieces = sized.where("n_full > 0").select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_full") - 1)).alias("piece"), "queue")
-    own = whole_pieces.select("id", "piece", "queue", F.lit(-1).cast("bigint").alias("shard"), F.xxhash64("id", "piece").alias("container"), F.lit(-1).cast("bigint").alias("window"), F.lit(0).cast("bigint").alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"))
-    return packed.unionByName(own)
+    return items.groupBy("shard").cogroup(credits.groupBy("shard")).applyInPandas(one, _SCHEMA)
 
 
 _COLUMNS = ["id", "piece", "queue", "shard", "container", "window", "start", "n_tokens"]
 _SCHEMA = "id bigint, piece bigint, queue string, shard bigint, container bigint, window bigint, start bigint, n_tokens bigint"
 
 
-def _credits(table: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(shard, queue, credit): what earlier shards owe each queue, by two levels of prefix sums."""
-    share = F.coalesce(F.element_at(F.create_map(*[x for q, s in shares.items() for x in (F.lit(q), F.lit(s))]), F.col("queue")), F.lit(0.0)) if shares else F.lit(0.0)
-    totals = table.groupBy("shard").agg(F.sum("n").alias("of_shard"))
-    names = F.array(*[F.lit(q) for q in shares]) if shares else F.array().cast("array<string>")
-    grid = totals.select("shard", "of_shard", F.explode(names).alias("queue"))
-    owed = grid.join(table, ["shard", "queue"], "left").withColumn("d", share * F.col("of_shard") - F.coalesce("n", F.lit(0).cast("bigint"))).withColumn("block", F.floor(F.col("shard") / BLOCK))
-    blocks = owed.groupBy("queue", "block").agg(F.sum("d").alias("d"))
-    before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("queue", "block", F.coalesce(F.sum("d").over(before), F.lit(0.0)).alias("base"))
-    within = Window.partitionBy("queue", "block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return owed.withColumn("run", F.coalesce(F.sum("d").over(within), F.lit(0.0))).join(blocks, ["queue", "block"]).select("shard", "queue", (F.col("run") + F.col("base")).alias("credit"))
+def _before(table: DataFrame, of: list[str], value: str, name: str) -> DataFrame:
+    """table with the sum of value over the earlier shards of the same keys, by two levels of prefix sums."""
+    rows = table.withColumn("_block", F.floor(F.col("shard") / BLOCK))
+    blocks = rows.groupBy(*of, "_block").agg(F.sum(value).alias("_d"))
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("bigint")
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_d").over(earlier(of, "_block")), nothing)).drop("_d")
+    within = F.coalesce(F.sum(value).over(earlier([*of, "_block"], "shard")), nothing)
+    return rows.withColumn("_within", within).join(blocks, [*of, "_block"]).withColumn(name, F.col("_within") + F.col("_base")).drop("_block", "_within", "_base")
+
+
+def _credits(table: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """(shard, queue, share, credit): each queue's share of the tokens, and what the earlier shards owe it: its share of all their tokens less
+    its own. Queues are rows of a table, however many there are."""
+    tokens = table.groupBy("queue").agg(F.sum("n").alias("wanted"))
+    if targets is not None:
+        given = table.sparkSession.createDataFrame(list(targets.items()), "queue string, wanted double")
+        tokens = tokens.select("queue").join(given, "queue", "left").select("queue", F.coalesce("wanted", F.lit(0.0)).alias("wanted"))
+    whole = tokens.agg(F.sum("wanted").alias("whole"))
+    shares = tokens.join(F.broadcast(whole)).select("queue", F.when(F.col("whole") > 0, F.col("wanted") / F.col("whole")).otherwise(0.0).alias("share"))
+    of_shard = table.groupBy("shard").agg(F.sum("n").alias("m")).withColumn("_all", F.lit(1))
+    whole_before = _before(of_shard, ["_all"], "m", "all_before").select("shard", "all_before")
+    own = _before(table, ["queue"], "n", "own_before")
+    return own.join(whole_before, "shard").join(shares, "queue").select("shard", "queue", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("credit"))
+
+
+#: Target proportions and shard size of the registered mixture.
+TARGETS, MIXED_SHARD = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}, 100_000
 
 
 def p7_packed(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
+def p7_mixed(spark, sf_dir: str) -> DataFrame:
+    """The texts packed in stated proportions of their languages, over several shards."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(documents, targets=TARGETS, shard_tokens=MIXED_SHARD).withColumnRenamed("id", "doc_id")
+
+
 def p7_windows(spark, sf_dir: str) -> DataFrame:
-    """Per window: containers, tokens, fill and each source's share."""
-    packed = p7_packed(spark, sf_dir).where("window >= 0")
-    rows = packed.groupBy("shard", "window", "queue").agg(F.sum("n_tokens").alias("n"), F.max("container").alias("last"), F.min("container").alias("first"))
+    """Per window of the mixture: each queue's share and its target, and the tokens."""
+    rows = p7_mixed(spark, sf_dir).groupBy("shard", "window", "queue").agg(F.sum("n_tokens").alias("n"))
     per = Window.partitionBy("shard", "window")
-    return rows.select("shard", "window", "queue", F.round(F.col("n") / F.sum("n").over(per), 6).alias("share"), F.sum("n").over(per).alias("n_tokens"))
+    target = F.coalesce(*[F.when(F.col("queue") == q, F.lit(t)) for q, t in TARGETS.items()], F.lit(0.0))
+    return rows.select("shard", "window", "queue", F.round(F.col("n") / F.sum("n").over(per), 6).alias("share"), target.alias("target"), F.sum("n").over(per).alias("n_tokens"))

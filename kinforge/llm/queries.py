@@ -14,6 +14,7 @@ _ALL = (
     matching.p6_found,
     matching.p6_matches,
     packing.p7_packed,
+    packing.p7_mixed,
     packing.p7_windows,
     leakage.p8_found,
     leakage.p8_matches,

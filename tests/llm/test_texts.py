@@ -121,3 +121,36 @@ def test_pack(spark):
     assert max(held.values()) <= 128 and len({(r["shard"], r["container"], r["start"]) for r in packed if r["n_tokens"]}) == sum(r["n_tokens"] > 0 for r in packed)
     assert all(sum(x["id"] == r["id"] for x in packed) == 1 for r in packed if r["n_tokens"] < 128 and r["piece"] == 0 and r["id"] != 5)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_mixture_over_shards(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["word", "text", "more"], k=rng.randrange(1, 400))), rng.choice(["a", "a", "a", "b", "c"])) for i in range(900)]
+    rows += [(2000 + i, "long text " * 700, "b") for i in range(12)]  # long pages of one queue
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    targets = {"a": 0.6, "b": 0.25, "c": 0.15}
+    packed = packing.pack(df, targets=targets, capacity=512, window=8, shard_tokens=40_000).collect()
+    assert len({r["shard"] for r in packed}) > 3 and {r["id"] for r in packed} == {r[0] for r in rows}
+    assert sum(r["n_tokens"] == 512 for r in packed) >= 12 * 2 and all(r["window"] >= 0 for r in packed)
+    own, windows = {}, {}
+    for r in packed:
+        windows.setdefault((r["shard"], r["window"]), {}).setdefault(r["queue"], []).append(r["n_tokens"])
+        own[r["shard"]] = max(own.get(r["shard"], 0), r["window"])
+    off = [abs(sum(w.get(q, [0])) / sum(map(sum, w.values())) - t) for (s, n), w in windows.items() if n < own[s] // 2 for q, t in targets.items()]
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.06  # while all queues have items
+    # without targets the windows have the proportions of the texts
+    natural = packing.pack(df, capacity=512, window=8, shard_tokens=40_000).collect()
+    total = sum(r["n_tokens"] for r in natural)
+    share = {q: sum(r["n_tokens"] for r in natural if r["queue"] == q) / total for q in targets}
+    by_shard = {}
+    for r in natural:
+        by_shard.setdefault(r["shard"], {}).setdefault(r["queue"], []).append(r["n_tokens"])
+    # deficits go from shard to shard: over the shards so far every queue has had its share, but for what chance put in the last one
+    assert all(abs(sum(map(sum, (w.get(q, [0]) for w in by_shard.values()))) / total - share[q]) < 1e-9 for q in targets)
+
+
+def test_credits_carry_over_shards(spark):
+    table = spark.createDataFrame([(s, q, n) for s, row in enumerate([(10, 30), (20, 20), (35, 5), (0, 40)]) for q, n in zip("ab", row) if n], "shard long, queue string, n long")
+    got = {(r["shard"], r["queue"]): (r["share"], round(r["credit"], 6)) for r in packing._credits(table, {"a": 1.0, "b": 1.0}).collect()}
+    assert got[0, "a"] == (0.5, 0) and got[1, "a"] == (0.5, 10) and got[2, "b"] == (0.5, -10) and got[3, "b"] == (0.5, 5)
+    assert packing._credits(table.limit(0), None).count() == 0
