@@ -4,7 +4,8 @@ For each page's own content (without menu, cookie notice and footer) a suffix au
 comes, for every word, the longest run of words ending there that occurs again, and so the characters that repeated maximal
 runs cover. The content is also divided into segments, and each is judged by its clause structure: enough different words, closed
 like a sentence, no list separators or addresses. A page is spam if most of its own content isn't in clauses and forms a list of
-some length; a segment that repeated runs cover mostly counts as no clause, however it is punctuated. Pages are judged
+some length; a segment that repeated runs cover mostly counts as no clause, however it is punctuated, and the share of the whole
+content that repeated runs cover counts beside the missing clauses. Pages are judged
 one by one in Arrow batches: there is no shuffle.
 """
 
@@ -19,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of page menus (letters a-z only, so that wrongly decoded text is met too).
+#: Entries of page menus (letters a-z only, so that wrongly decoded text is met too).
 MENU = frozenset(
     "home contact about aboutus news events jobs shop blog help search archive gallery members delivery signin login register openinghours sitemap terms privacy imprint faq services products "
     "startseite kontakt beruns suche hilfe laden archiv anmelden ffnungszeiten termine aktuelles impressum datenschutz "
     "accueil propos boutique connexion aide archives agenda recherche actualits mentionslgales "
     "inicio contacto quinessomos tienda entrar ayuda archivo noticias buscar avisolegal".split()
 )
-COOKIE = re.compile(r"cookie|files on your device|kleine dateien|petits fichiers|témoins|tÃ©moins|archivos peque", re.I)
+COOKIE = re.compile(r"cookie|files on your device|kleine dateien|petits fichiers|t(?:é|Ã©|e)moins|archivos peque", re.I)
 FOOTER = re.compile(r"^\W*(?:Â)?(?:©|\(c\)|copyright\b)", re.I)
 MORE = re.compile(r"^[^\W\d]+(?: [^\W\d]+){0,2}: [^\W\d]+(?:, [^\W\d]+){0,7}$")
 WORD = re.compile(r"[^\W_]+")
@@ -44,7 +45,9 @@ FIRST_WORDS, MANY = 40, 6
 MIN_VARIETY = 0.62
 MIN_LISTED_CHARS = 150
 MIN_ENTRIES = 8
-SHARE = 0.5
+#: Share of a page's own characters from which it is spam: those outside clauses, plus COVERED times those that repeated runs cover
+#: beyond the share USUAL that long texts of sentences reach too.
+SHARE, COVERED, USUAL = 0.5, 0.2, 0.9
 
 
 def longest_repeats(symbols: list[int]) -> list[int]:
@@ -87,7 +90,7 @@ def own_lines(text: str) -> list[str]:
     """The lines of a page's own content."""
     lines = [x for x in (line.strip() for line in text.splitlines()) if x]
     start = 0
-    while start < len(lines) and start < 40:
+    while start < len(lines):
         line = lines[start]
         items = [i for i in ITEMS.split(line) if i]
         menu = sum(map(_menu_item, items)) >= max(1, (len(items) + 1) // 2)
@@ -95,9 +98,13 @@ def own_lines(text: str) -> list[str]:
             break
         start += 1
     lines = lines[start:]
-    for _ in range(3):
-        if lines and (FOOTER.match(lines[-1]) or (len(lines) > 1 and MORE.match(lines[-1]) and "," in lines[-1] and len(lines[-1]) < 160) or COOKIE.search(lines[-1]) and len(lines[-1]) < 160):
-            lines = lines[:-1]
+    more = 0  # one list of further topics at the end belongs to the site, several are the page's own
+    while lines:
+        if len(lines) > 1 and more == 0 and MORE.match(lines[-1]) and "," in lines[-1] and len(lines[-1]) < 160:
+            more += 1
+        elif not (FOOTER.match(lines[-1]) or COOKIE.search(lines[-1]) and len(lines[-1]) < 160):
+            break
+        lines = lines[:-1]
     return _unwrapped(lines)
 
 
@@ -168,8 +175,11 @@ def judge(text: str | None) -> tuple[int, int, int, int, bool]:
             clause += size
         else:
             entries += max(len(SEPARATOR.findall(s)) + 1, count // 4)
-    spam = own > 0 and own - clause >= MIN_LISTED_CHARS and own - clause >= SHARE * own and entries >= MIN_ENTRIES
-    return own, clause, sum(compress(sizes, covered)), entries, spam
+    again = sum(compress(sizes, covered))
+    # what isn't in clauses and what repeated runs cover beyond the usual weigh together
+    weight = own - clause + COVERED * max(0.0, again - USUAL * own)
+    spam = own > 0 and own - clause >= MIN_LISTED_CHARS and weight >= SHARE * own and entries >= MIN_ENTRIES
+    return own, clause, again, entries, spam
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
