@@ -40,14 +40,19 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Pairs of values scored so far, kept from batch to batch in a worker.
+_scores: dict[tuple[str, str], float] = {}
+
+
 def _jaro_winkler(left: Column, right: Column) -> Column:
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict = {}
         out = []
         for pair in zip(a.tolist(), b.tolist()):
-            score = known.get(pair)
+            score = _scores.get(pair)
             if score is None:
-                score = known[pair] = jaro_winkler_text(*pair)
+                if len(_scores) > 500_000:
+                    _scores.clear()
+                score = _scores[pair] = jaro_winkler_text(*pair)
             out.append(score)
         return pd.Series(out, dtype="float64")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What stands for a missing id in the test tables.
+PLACEHOLDER_IDS = ("0", "n/a", "NULL", "99999999")
 _FROM, _TO = "ÉÖÁÑÍÓÚÈÀÜÄ  　“”’‐", "EOANIOUEAUA   "
 
 
@@ -15,7 +17,8 @@ _NAMES = [f"{name(c)} as {c}" for c in ("fname", "mname", "lname", "altlname")]
 FIRST = [
     "idx",
     "source_id as indv_id",
-    "common_id",
+    # placeholders would pair all their holders
+    f"case when common_id in ({', '.join(map(repr, PLACEHOLDER_IDS))}) then '' else common_id end as common_id",
     *_NAMES,
     *[x for p in ("byear", "bmonth", "bday") for x in (f"{p} as {p}_txt", f"try_cast({p} as double) as {p}")],
     "zipcode",

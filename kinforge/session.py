@@ -60,6 +60,15 @@ def stashed_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """df with a broadcast hint if its files are known to be below limit bytes, otherwise df as it is."""
-    return F.broadcast(df) if stashed_bytes(df) <= limit else df
+#: Bytes of a row's parts as a broadcast holds them: fixed for a row and for a value, and for the letters of a text; how much
+#: larger than its files a table may be in memory.
+ROW_BYTES, VALUE_BYTES, TEXT_BYTES, UNPACKED = 48, 8, 64, 8
+
+
+def small(df: DataFrame, limit: int = 128 << 20) -> DataFrame:
+    """df, which reads a written table, with a broadcast hint if both its files, unpacked, and its rows times their width stay below
+    limit bytes, otherwise df as it is. Rows are counted from the files' footers."""
+    if stashed_bytes(df) * UNPACKED > limit:
+        return df
+    width = ROW_BYTES + sum(VALUE_BYTES if t in ("bigint", "int", "double", "boolean") else TEXT_BYTES for _, t in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= limit else df
