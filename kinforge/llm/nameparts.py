@@ -1,4 +1,4 @@
-"""What two typed person names have in common: tokens, n-gram vectors and the exact check of a candidate pair."""
+"""What two typed person names have in common, for one pair of names; namebatch says the same over arrays of pairs."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
-#: Words that are no name, suffixes, titles.
+#: Words that are no name, suffixes, titles.
 NO_NAME = frozenset("nmn nmi none unk unknown na null nil missing blank test xxx xx refused notgiven nofirstname nolastname".split())
 SUFFIXES = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "v": "v", "2nd": "ii", "3rd": "iii", "4th": "iv"}
 TITLES = frozenset("mr mrs ms miss dr prof rev sir hon fr sra herr frau mme mlle".split())
-#: Common short forms of given names that share no beginning with them.
+#: Common short forms of given names that share no beginning with them; the choice is ours.
 SHORT_FORMS = {
     k: frozenset(v.split())
     for k, v in {
@@ -205,15 +205,3 @@ class Speller:
         first = max((self.alike(x, y) for x in a.first for y in b.first), default=0.0)
         middle = max((self.alike(x, y) for x in a.middle for y in b.middle if len(x) > 2 and len(y) > 2), default=0.0)
         return whole(a.first) and whole(b.first) and whole(a.middle) and whole(b.middle) and first >= 0.7 and middle >= 0.76
-
-
-_spellers: dict[int, Speller] = {}
-
-
-def speller_of(established) -> Speller:
-    """The speller of a set of established names, kept with what it has compared for the later tasks of the process."""
-    key = hash(frozenset(established))
-    if key not in _spellers:
-        _spellers.clear()
-        _spellers[key] = Speller(established)
-    return _spellers[key]
