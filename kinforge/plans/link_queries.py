@@ -10,6 +10,7 @@ from kinforge.functions.cleaning import clean_fname, clean_lname, remove_accents
 from kinforge.functions.similarity import compare
 from kinforge.operators import blocking, preprocess, report, resolve
 from kinforge.operators import results as res
+from kinforge.plans import clean_sql
 from kinforge.plans import link_sql as L
 from kinforge.plans.people import first, second
 from kinforge.session import stash
@@ -362,17 +363,27 @@ def accents(spark, d):
     return _raw(spark, d).select("idx", remove_accents(F.col("lname")).alias("lname"))
 
 
-@query()
+@query(clean_sql.FIRST)
 def clean_first_names(spark, d):
     return _raw(spark, d).select("idx", clean_fname(F.col("fname"), F.col("mname")).alias("n")).select("idx", "n.*")
 
 
-@query()
+@query(clean_sql.LAST)
 def clean_last_names(spark, d):
     return _raw(spark, d).select("idx", clean_lname(F.col("lname"), F.col("altlname")).alias("n")).select("idx", "n.*")
 
 
-@query()
+_SAME = ("source_id", "byear", "bmonth", "bday", "county")
+_PREPROCESSED_SQL = f"""with f as (from ({clean_sql.FIRST})), l as (from ({clean_sql.LAST})),
+ n as (select {', '.join(f"coalesce({c}, '') {c}" for c in _SAME)}, case when common_id in ('0', 'n/a', 'NULL', '99999999') then '' else coalesce(common_id, '') end common_id,
+  case when zipcode in ('00000', '99999') then '' when length(zipcode) > 5 then substr(zipcode, 1, 5) else coalesce(zipcode, '') end zipcode,
+  f.fname, f.mname, f.altfname, l.lname, l.altlname, coalesce(l.suffix, f.suffix) suffix from preprocess_file_template p join f using (idx) join l using (idx)),
+ x as (select * replace (unnest(case when altfname is null then [fname] else [fname, altfname] end) as fname) from n),
+ y as (select * exclude (lname, altlname), unnest(case when altlname is null then [{{'l': lname, 'o': altlname}}] else [{{'l': lname, 'o': altlname}}, {{'l': altlname, 'o': null}}] end) w from x)
+ select distinct source_id, fname, {_soundex_sql('fname')} xf, mname, coalesce(substr(mname, 1, 1), '') minitial, w.l lname, {_soundex_sql('w.l')} xl, w.o altlname, suffix, byear, bmonth, bday, zipcode, county, common_id from y"""
+
+
+@query(_PREPROCESSED_SQL)
 def preprocessed(spark, d):
     """The whole preparation of the raw table."""
     names = ("source_id", "fname", "mname", "lname", "altlname", "byear", "bmonth", "bday", "zipcode", "county", "common_id")
