@@ -65,6 +65,11 @@ def _forms(name: str) -> tuple[str, ...]:
     return tuple(s for s, full in SHORT_FORMS.items() if name in full)
 
 
+def _named(word: str) -> bool:
+    """Whether a word is a short form or has one."""
+    return word in SHORT_FORMS or bool(_forms(word))
+
+
 def _doubled(a: str, b: str) -> bool:
     """Whether b is a with one letter written twice."""
     return len(b) == len(a) + 1 and any(a[i] == b[i + 1] and a[: i + 1] + a[i:] == b for i in range(len(a)))
@@ -138,12 +143,10 @@ class Speller:
             return 1 - 0.12 * d - (0.1 if a[0] != b[0] else 0)
         if b.startswith(a):
             return 0.8
-        if len(a) >= 4 and edits(a, b[: len(a)], 1) <= 1:
+        if len(a) >= 4 and a[0] == b[0] and edits(a, b[: len(a)], 1) <= 1:
             return 0.7
-        for x, y in ((a, b), (b, a)):  # a typo in a short form or in the name it stands for
-            if len(x) >= 3 and any(edits(x, s, 1) <= 1 for s in _forms(y) if len(s) >= 3):
-                return 0.65
-            if any(edits(y, s, 1) <= 1 for s in SHORT_FORMS.get(x, ()) if len(s) >= 4):
+        for x, y in ((a, b), (b, a)):  # x a typo in a short form of y or in a name that y is short for
+            if 3 <= len(x) <= 12 and x not in self.established and not _named(x) and any(edits(x, s, 1) <= 1 for s in (*_forms(y), *SHORT_FORMS.get(y, ())) if len(s) >= 3):
                 return 0.65
         return 0.0
 
