@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.namebatch import FIELDS, Names, Slices, gathered, mixed, number
-from kinforge.llm.personrows import NO_YEAR, name_statistics, numbers, parts, text
+from kinforge.llm.personrows import NO_YEAR, name_statistics, numbers, packed, parts, text, unpacked, unpacked_numbers
 from kinforge.session import drop_stash, small, stash
 
 #: Bits of the key bitmap: 2 MB to 64 MB, by the number of keys; about so many keys a record.
@@ -219,12 +219,16 @@ def _scored(names: dict[str, float], shares: dict[tuple[str, int], float], recor
                 _, rows = np.unique(codes, return_index=True)
                 sides.append(rows)
                 at.append(codes)
-            columns = [pa.chunked_array([*t[f"a_{c}"].take(pa.array(sides[0])).chunks, *t[f"b_{c}"].take(pa.array(sides[1])).chunks], pa.string()) for c in FIELDS]
+            columns = unpacked(pa.concat_arrays([t[f"{s}_names"].combine_chunks().take(pa.array(rows)) for s, rows in zip("ab", sides)]))
             parsed = Names(columns, names)
-            total = evidence.birth(number(t["a_born"]), number(t["b_born"])) + evidence.place(*[number(t[c]) for c in ("a_zip", "b_zip", "a_county", "b_county")])
-            total += evidence.prior + evidence.name(parsed, at[0].astype(np.int64), at[1].astype(np.int64) + len(sides[0]))
+            (born_a, zip_a, county_a), (born_b, zip_b, county_b) = (unpacked_numbers(number(t[f"{s}_p"])) for s in "ab")
+            total = evidence.birth(born_a, born_b) + evidence.place(zip_a, zip_b, county_a, county_b)
+            i, j = at[0].astype(np.int64), at[1].astype(np.int64) + len(sides[0])
+            some, name = np.flatnonzero(parsed.possible(i, j)), np.full(len(i), np.nan)
+            name[some] = evidence.name(parsed, i[some], j[some])
+            total += evidence.prior + name
             keep = pa.array(np.flatnonzero(total > FLOOR))
-            yield from pa.table({"ida": t["ida"].take(keep), "idb": t["idb"].take(keep), "birth": t["a_born"].take(keep), "evidence": total[keep]}).to_batches()
+            yield from pa.table({"ida": t["ida"].take(keep), "idb": t["idb"].take(keep), "birth": pa.array(born_a[keep.to_numpy()], pa.int32()), "evidence": total[keep]}).to_batches()
 
     return run
 
@@ -237,7 +241,7 @@ def candidates(a: DataFrame, b: DataFrame, names: dict[str, float], shares: dict
     key_b = b.select(*some).mapInArrow(_keyed(True), f"id {types[1]}, key bigint")
     key_a = a.select(*some).mapInArrow(_keyed(False, bitmap), f"id {types[0]}, key bigint")
     pairs = key_a.withColumnRenamed("id", "ida").join(key_b.withColumnRenamed("id", "idb"), "key").select("ida", "idb").repartition(F.col("ida")).distinct()
-    side = lambda df, s: df.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "born", "zip", "county")])
+    side = lambda df, s: df.select("id", *packed(list(FIELDS))).toDF(f"id{s}", f"{s}_names", f"{s}_p")
     # pairs are already placed by ida, so only the rows of a move; b's rows come last, where they are few by a broadcast
     full = pairs.join(side(a, "a"), "ida").join(small(side(b, "b")), "idb")
     return full.mapInArrow(_scored(names, shares, records), f"ida {types[0]}, idb {types[1]}, birth int, evidence double")

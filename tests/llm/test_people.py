@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kinforge.llm import matching, spellings, survivors
+from kinforge.llm import matching, personrows, spellings, survivors
 from kinforge.llm.namebatch import Names
 from kinforge.llm.nameparts import Person, Speller, edits
 
@@ -235,3 +235,24 @@ def test_probabilities_are_calibrated(spark):
     for low in np.arange(0.1, 0.9, 0.2):
         some = [(r["probability"], right[r["ida"]]) for r in got if low <= r["probability"] < low + 0.2]
         assert abs(np.mean([p for p, _ in some]) - np.mean([x for _, x in some])) < 0.06
+
+
+def test_only_pairs_that_names_cannot_link_are_left_out_beforehand():
+    rng = random.Random(4)
+    words = "Lloyd Llyod Loyd L Robert Bob Rob Roberta Robret Smith Smyth Smithson Anna Ann Anne O'Hara OHara Dorothy Dot Quibble Ubikle Éva Eva Xena Zena".split()
+    name = lambda most: rng.choice([None, "", *[" ".join(rng.choices(words, k=k)) for k in range(1, most + 1)]])
+    people = [(name(3), name(2), name(3), name(1), rng.choice([None, "Jr", "Smith"])) for _ in range(250)] + [(None,) * 5]
+    names = Names(columns(people), {"smith": 0.02, "robert": 0.01, "anna": 0.01})
+    i, j = (x.ravel() for x in np.meshgrid(range(len(people)), range(len(people))))
+    linked = (names.found(i, j)[0] > 0) | (names.found(j, i)[0] > 0) | names.new_surnames(i, j)
+    assert names.possible(i, j)[linked].all()
+    unlike = Names(columns([("Lloyd", None, "Tammez", None, None), ("Dorothy", None, "Quibble", None, None), ("Loyd", "R", "Tamez", None, None)]))
+    assert unlike.possible(np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [False, True, False]
+
+
+def test_a_record_packed_in_two_columns_comes_back_whole(spark):
+    rows = [("Lloyd", "", "a\0b", None, "Jr", 127 << 14 | 12 << 7 | 31, 99999, (1 << 24) - 1), ("", "", "", "", "", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "fname string, mname string, lname string, altlname string, suffix string, born int, zip int, county int")
+    got = df.select(*personrows.packed(["fname", "mname", "lname", "altlname", "suffix"])).toPandas()
+    assert [c.to_pylist() for c in personrows.unpacked(pa.array(got["names"]))] == [["Lloyd", ""], ["", ""], ["a b", ""], ["", ""], ["Jr", ""]]
+    assert [x.tolist() for x in personrows.unpacked_numbers(got["p"].to_numpy())] == [[r[k] for r in rows] for k in (5, 6, 7)]
