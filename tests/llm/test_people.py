@@ -256,3 +256,52 @@ def test_a_record_packed_in_two_columns_comes_back_whole(spark):
     got = df.select(*personrows.packed(["fname", "mname", "lname", "altlname", "suffix"])).toPandas()
     assert [c.to_pylist() for c in personrows.unpacked(pa.array(got["names"]))] == [["Lloyd", ""], ["", ""], ["a b", ""], ["", ""], ["Jr", ""]]
     assert [x.tolist() for x in personrows.unpacked_numbers(got["p"].to_numpy())] == [[r[k] for r in rows] for k in (5, 6, 7)]
+
+
+def test_linkage_on_arrays_is_average_linkage():
+    rng = random.Random(6)
+    ids = np.array(rng.sample(range(1000), 60))
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60) if i // 5 == j // 5 and rng.random() < 0.7]
+    sims = {p: rng.choice([0.2, 0.5, 0.6, 0.8, 0.95]) for p in pairs}
+    i, j, s = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([sims[p] for p in pairs])
+    root = spellings.local_components(60, i, j)
+    got = spellings.local_linkage(ids, root, i, j, s)
+    rank = {x: k for k, x in enumerate(sorted(ids.tolist()))}
+    want = spellings.average_linkage(60, {tuple(sorted((rank[ids[a]], rank[ids[b]]))): v for (a, b), v in sims.items()}, spellings.LINKAGE)
+    clusters = {}
+    for x, k in rank.items():
+        clusters.setdefault(want[k], []).append(x)
+    assert {x: min(c) for c in clusters.values() for x in c} == dict(zip(ids.tolist(), got.tolist()))
+
+
+def test_spelling_classes_on_arrays():
+    names = [("Lloyd", "Smith", ""), ("SMITH", "Lloyd", ""), ("Lloyd", "Smiht", ""), ("LloydSmith", "", ""), ("Lloyd Smith", "", ""), ("Ann", "Mary", ""), ("Mary Ann", "", "")]
+    person, ids = np.array([1, 1, 1, 1, 1, 9, 9]), np.array([5, 4, 3, 2, 1, 9, 8])
+    got = spellings.spelling_classes(person, ids, names)
+    for p in (1, 9):
+        at = [k for k in np.argsort(ids) if person[k] == p]
+        assert [ids[at[c]] for c in spellings.name_classes([list(names[k]) for k in at])] == got[at].tolist()
+
+
+def test_hot_keys_leave_their_bucket_with_every_row():
+    rng = random.Random(8)
+    born = [50 << 14 | 1 << 7 | d for d in (1, 2, 3, 9)]
+    rows = np.array([(key, 7 << 32 | i, rng.choice(born) | 5 << 24, -i) for key in (-3, 4, 1 << 40) for i in range(40 if key == 4 else 6)] + [(77, -5, born[0], 1)], np.int64)
+    rows = np.concatenate((rows, rows[:3] + [0, 1000, 0, 0]))  # equal records
+    assert (spellings._grown(spellings._shrunk(rows[:6].copy()).tobytes(), 7)[:, 1] == rows[:6, 1]).all()
+    at = lambda x: [pa.RecordBatch.from_pydict({"bucket": [1], "high": [h], "data": [spellings._shrunk(x[x[:, 1] >> 32 == h].copy()).tobytes()]}) for h in np.unique(x[:, 1] >> 32)]
+    said = lambda most, held: pa.Table.from_batches([b for b in spellings._in_buckets(most, held)(iter(at(rows[:30]) + at(rows[30:])))]).to_pylist()
+    whole, hot = said(100, 10_000), said(10, 10_000)
+    pairs = lambda got, key=lambda k: True: {(r["a"], r["b"]) for r in got if r["b"] is not None}
+    assert pairs(whole) and all(a >> 32 == 7 and b - (7 << 32) < 40 for a, b in pairs(whole))
+    for got in (hot, said(10, 20)):
+        left = [(r["a"], r["p"]) for r in got if r["b"] is None]
+        assert len(set(left)) == 40 and {r["key"] for r in got if r["b"] is None} == {4}
+        more = {(a, b) for a, p in left for b, q in left if a < b and spellings.births_near(np.array([p & (1 << 21) - 1]), np.array([q & (1 << 21) - 1]))[0]}
+        assert pairs(got) | more == pairs(whole)
+
+
+def test_long_ids_and_a_birth_date_too_large_for_one_block(spark):
+    rows = [((9 << 40) - i, *r) for i, r in enumerate([("Lloyd", "Ray", "Tammez", None, None, "1950", "1", "2", "60601", "1")] * 20 + [("Lloyd", "Ray", "Tamez", None, None, "1950", "1", d, "60601", "1") for d in ("2", "3")] + [("Xena", None, "Quibble", None, None, "1950", "1", "2", "60601", "1")])]
+    got = [sorted(map(tuple, spellings.spellings(spark.createDataFrame(rows, PEOPLE), max_block=n).collect())) for n in (2, 4096)]
+    assert got[0] == got[1] and len(got[0]) == 22 and {p for _, p, _ in got[0]} == {(9 << 40) - 21} and len({c for _, _, c in got[0]}) == 2
