@@ -277,7 +277,7 @@ def test_linkage_on_arrays_is_average_linkage():
 def test_spelling_classes_on_arrays():
     names = [("Lloyd", "Smith", ""), ("SMITH", "Lloyd", ""), ("Lloyd", "Smiht", ""), ("LloydSmith", "", ""), ("Lloyd Smith", "", ""), ("Ann", "Mary", ""), ("Mary Ann", "", "")]
     person, ids = np.array([1, 1, 1, 1, 1, 9, 9]), np.array([5, 4, 3, 2, 1, 9, 8])
-    got = spellings.spelling_classes(person, ids, names)
+    got = spellings.spelling_classes(person, ids, columns(names))
     for p in (1, 9):
         at = [k for k in np.argsort(ids) if person[k] == p]
         assert [ids[at[c]] for c in spellings.name_classes([list(names[k]) for k in at])] == got[at].tolist()
