@@ -305,3 +305,22 @@ def test_long_ids_and_a_birth_date_too_large_for_one_block(spark):
     rows = [((9 << 40) - i, *r) for i, r in enumerate([("Lloyd", "Ray", "Tammez", None, None, "1950", "1", "2", "60601", "1")] * 20 + [("Lloyd", "Ray", "Tamez", None, None, "1950", "1", d, "60601", "1") for d in ("2", "3")] + [("Xena", None, "Quibble", None, None, "1950", "1", "2", "60601", "1")])]
     got = [sorted(map(tuple, spellings.spellings(spark.createDataFrame(rows, PEOPLE), max_block=n).collect())) for n in (2, 4096)]
     assert got[0] == got[1] and len(got[0]) == 22 and {p for _, p, _ in got[0]} == {(9 << 40) - 21} and len({c for _, _, c in got[0]}) == 2
+
+
+def test_vectors_are_made_only_where_names_link(monkeypatch):
+    rng = random.Random(5)
+    first, last = ["Lloyd", "Loyd", "Mary", "Mark", "Dorothy", "Xena"], ["Smith", "Smyth", "Stone", "Tammez", "Quibble", "Qualm"]
+    rows = [(rng.choice(first), rng.choice([None, "Ray", "May"]), rng.choice(last), None, None) for _ in range(60)]
+    idf = {"^s": 0.5, "ra": 2.0}
+    born = np.where(np.arange(60) % 2, 50 << 14 | 1 << 7 | 2, 50 << 14 | 1 << 7 | 3)
+    people = spellings.People(columns(rows), born, np.full(60, 60601), np.full(60, 1), {"smith": 0.02}, spellings._weights(idf))
+    i, j = np.triu_indices(60, 1)
+    asked, near = [], spellings.People._near_vectors
+    monkeypatch.setattr(spellings.People, "_near_vectors", lambda self, a, b: (asked.append(len(a)), near(self, a, b))[1])
+    got = people.links(i, j)
+    assert 0 < sum(asked) < 0.5 * len(i) and (got > 0).sum() <= sum(asked)
+    # as by all cosines first, and each rule by itself
+    cosine = spellings.Vectors(people.names, spellings._weights(idf)).cosines(i, j) >= spellings.COSINE - 1e-9
+    middle = people.names.middles(i, j)
+    want = np.where(cosine, np.where(born[i] == born[j], people._born_alike(i, j, middle), people._born_near(i, j, middle)), 0.0)
+    assert np.allclose(got, want)
