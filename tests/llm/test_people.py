@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kinforge.llm import matching, personrows, spellings, survivors
+from kinforge.llm import matching, namebatch, personrows, spellings, survivors
 from kinforge.llm.namebatch import Names
-from kinforge.llm.nameparts import Person, Speller, edits
+from kinforge.llm.nameparts import Person, Speller, edits, plain
 
 SPELLER = Speller({"diane": 0.01, "diana": 0.01, "smith": 0.02, "dorothy": 0.01, "lloyd": 0.01})
 
@@ -324,3 +324,45 @@ def test_vectors_are_made_only_where_names_link(monkeypatch):
     middle = people.names.middles(i, j)
     want = np.where(cosine, np.where(born[i] == born[j], people._born_alike(i, j, middle), people._born_near(i, j, middle)), 0.0)
     assert np.allclose(got, want)
+
+
+def test_only_what_needs_it_takes_the_slow_way(monkeypatch):
+    texts = ["lloyd", "LLOYD", "mary ann", "mary  ann", " mary", "mary ", "O'Neil", "o`neil", "Ann-Marie", "José", "Łucja", "ß", "", None, "李", "a1 b2", "İpek", "-"]
+    slow, of_odd = [], namebatch._plain_of_odd
+    monkeypatch.setattr(namebatch, "_plain_of_odd", lambda v: (slow.extend(v.to_pylist()), of_odd(v))[1])
+    assert namebatch.plain(pa.array(texts)).to_pylist() == [plain(t or "") for t in texts]
+    assert slow and not {"lloyd", "mary ann", "", "a1 b2"} & set(slow)
+    # names of the same tokens are of one spelling without a search for cuts
+    monkeypatch.setattr(spellings, "same_parts", lambda *_: pytest.fail("searched"))
+    assert spellings.name_classes([["Anna Maria", "Lopez", ""], ["Anna", "Maria-LOPEZ", ""], ["Lopez", "Maria", "Anna"]]) == [0, 0, 0]
+
+
+def test_edits_and_grams_on_arrays():
+    rng = random.Random(9)
+    texts = list(dict.fromkeys("".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 14, 48]))) for _ in range(150)))
+    texts += [t[:-2] + t[-1] + t[-2] for t in texts if len(t) > 2 and t[-1] != t[-2] and t[:-2] + t[-1] + t[-2] not in texts]
+    w = namebatch.Words(texts)
+    x, y = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    x, y = x[w.sizes[x] <= w.sizes[y]], y[w.sizes[x] <= w.sizes[y]]
+    assert namebatch.edits(w, x, y).tolist() == [edits(texts[a], texts[b]) for a, b in zip(x, y)]
+    assert namebatch.edits(w, x, y, w.sizes[x]).tolist() == [edits(texts[a], texts[b][: len(texts[a])]) for a, b in zip(x, y)]
+    assert len(namebatch.edits(w, x[:0], y[:0])) == 0
+    word, place, each = spellings._grams(texts[:20])
+    code = lambda g: ord(g[0]) << 21 | ord(g[1]) if len(g) == 2 else ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    want = {(k, code(f"^{t}$"[a : a + n])) for k, t in enumerate(texts[:20]) for n in (2, 3) for a in range(len(t) + 3 - n)}
+    assert len(word) == len(want) and set(zip(word.tolist(), each[place].tolist())) == want
+    assert namebatch.distinct(np.array([3, 1, 3])).tolist() == [1, 3] and not len(namebatch.distinct(np.zeros(0)))
+
+
+def test_squeezed_names_follow_field_by_field():
+    texts = ["Anna-Maria", "O'Neil 3rd", "José", "J o s e", "İpek", "", "--", "Σίσυφος", "é", "Straße"]
+    assert spellings._squeezed(pa.array(texts)).to_pylist() == [spellings._field(t).replace(" ", "") for t in texts]
+
+
+def test_word_counts_split_each_text_once(spark):
+    rows = [("Anna Maria", None, "López"), ("Anna Maria", "", "O'Neil"), ("ANNA", "x-y", "Ärger"), (None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    counts = personrows.word_counts(df, ["a", "b", "c"])
+    assert {r["word"]: r["n"] for r in counts.collect()} == {"anna": 3, "maria": 2, "lopez": 1, "oneil": 1, "x": 1, "y": 1, "arger": 1}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.rindex("Aggregate")  # the plan is read from below: texts are grouped before they are split
