@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,21 +41,56 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-#: Pairs of values scored so far, kept from batch to batch in a worker.
-_scores: dict[tuple[str, str], float] = {}
+#: Characters that the arrays of jaro_winkler_texts hold, narrowest first; longer texts are compared one by one.
+WIDTHS = (16, 32, 64)
+
+
+def _jaro_winkler_codes(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """jaro_winkler_text of each row of two arrays of code points, with the lengths; the places of b are bits of a word."""
+    n, width = a.shape
+    ones = np.uint64(2**64 - 1)
+    upto = lambda k: ones >> (64 - np.clip(k, 1, 64)).astype(np.uint64)  # noqa: E731 - the lowest k bits, k >= 1
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    whole = upto(lb)
+    free, met = whole.copy(), np.zeros((n, width), dtype=bool)
+    for i in range(int(la.max())):
+        equal = np.packbits(b == a[:, i : i + 1], axis=1, bitorder="little").view(f"<u{width // 8}")[:, 0].astype(np.uint64)
+        low = i - reach
+        near = upto(i + reach + 1) & np.where(low > 0, ~upto(low), ones)
+        hit = np.where(i < la, equal & free & near, np.uint64(0))
+        first = hit & (~hit + np.uint64(1))
+        free ^= first
+        met[:, i] = first != 0
+    there = np.unpackbits((whole ^ free).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :width].astype(bool)
+    m = met.sum(axis=1)
+    turned = np.bincount(np.repeat(np.arange(n), m), weights=a[met] != b[there], minlength=n).astype(np.int64) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la + m / lb + (m - turned) / some) / 3, 0.0)
+    alike = (a[:, :4] == b[:, :4]) & (np.arange(4) < np.minimum(la, lb)[:, None])
+    prefix = np.cumprod(alike, axis=1).sum(axis=1)
+    return np.where(jaro <= 0.7, jaro, jaro + prefix * 0.1 * (1 - jaro))
+
+
+def jaro_winkler_texts(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler_text of each pair of two lists."""
+    n = len(a)
+    la, lb = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
+    same = np.fromiter((x == y for x, y in zip(a, b)), bool, n)
+    out = np.where(same & (la > 0), 1.0, 0.0)
+    longest = np.where(same | (la == 0) | (lb == 0), 0, np.maximum(la, lb))
+    for i in np.flatnonzero(longest > WIDTHS[-1]).tolist():
+        out[i] = jaro_winkler_text(a[i], b[i])
+    for narrower, width in zip((0, *WIDTHS), WIDTHS):
+        rows = np.flatnonzero((longest > narrower) & (longest <= width))
+        if len(rows):
+            codes = [np.array([x[i] for i in rows.tolist()], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width) for x in (a, b)]
+            out[rows] = _jaro_winkler_codes(*codes, la[rows], lb[rows])
+    return out
 
 
 def _jaro_winkler(left: Column, right: Column) -> Column:
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for pair in zip(a.tolist(), b.tolist()):
-            score = _scores.get(pair)
-            if score is None:
-                if len(_scores) > 500_000:
-                    _scores.clear()
-                score = _scores[pair] = jaro_winkler_text(*pair)
-            out.append(score)
-        return pd.Series(out, dtype="float64")
+        return pd.Series(jaro_winkler_texts(a.tolist(), b.tolist()))
 
     # marked so that the optimizer evaluates it once for each pair instead of copying it into every rule that reads the score
     return F.pandas_udf(batch, "double").asNondeterministic()(left, right)
@@ -71,6 +107,36 @@ def jarowinkler(left: Column, right: Column, p: Params) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(float(p["missing_value"]))).otherwise(score)
 
 
+def letter_columns(c: str) -> dict[str, Column]:
+    """What jarowinkler_possible reads of a text column: its letters as bits, how many these leave out, and one by its length (0 for
+    a missing text). The letters fall into 32 buckets; bit k stands for a first letter in bucket k, bit k + 32 for a second one."""
+    bit = "shiftleft(1L, ascii(x) & 31)"
+    bits = F.expr(f"aggregate(filter(split(coalesce({c}, ''), ''), x -> x <> ''), 0L, (s, x) -> s | if((s & {bit}) = 0, {bit}, shiftleft({bit}, 32)))")
+    length = F.length(F.coalesce(F.col(c), F.lit("")))
+    return {f"_letters_{c}": bits, f"_more_{c}": length - F.bit_count(bits), f"_share_{c}": F.when(length > 0, F.lit(1.0) / length).otherwise(0.0)}
+
+
+def jarowinkler_possible(x: str, y: str, least: float, p: Params) -> Column:
+    """Whether jarowinkler of a_x and b_y can be least or more: never false where it is, as the letters that two texts share bound their
+    Jaro similarity, and like beginnings take away at most 0.4 of what lacks to 1."""
+    sides = lambda name: (F.col(f"a__{name}_{x}"), F.col(f"b__{name}_{y}"))
+    (ca, cb), (more_a, more_b), (share_a, share_b) = map(sides, ("letters", "more", "share"))
+    jaro = least if least <= 0.7 else max(0.7, (least - 0.4) / 0.6)
+    can = (F.bit_count(ca.bitwiseAND(cb)) + F.least(more_a, more_b)) * (share_a + share_b) >= F.lit(3 * jaro - 1 - 1e-9)
+    if float(p["missing_value"]) >= least:
+        return (share_a == 0) | (share_b == 0) | can
+    return can if jaro > 0.34 else (share_a > 0) & (share_b > 0) & can
+
+
+def levenshtein_possible(x: str, y: str, least: float, p: Params) -> Column:
+    """Whether levenshtein of a_x and b_y can be least or more, in less code."""
+    if float(p["missing_value"]) >= least:
+        return levenshtein(F.col(f"a_{x}"), F.col(f"b_{y}"), p) >= least
+    a, b = F.col(f"a_{x}"), F.col(f"b_{y}")
+    near = F.levenshtein(a, b) <= F.lit(1 - least + 1e-9) * F.greatest(F.length(a), F.length(b))
+    return F.coalesce((a != "") & (b != "") & near, F.lit(False))
+
+
 def levenshtein(left: Column, right: Column, p: Params) -> Column:
     a, b = _present(left), _present(right)
     score = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinforge.config import LEVELS, MatchConfig
+from kinforge.functions import similarity
 
 
 @dataclass(frozen=True)
@@ -188,6 +189,110 @@ def _p4_review(s: Scores) -> Column:
     return (s.at_least("lname", cut) & s.at_least("common_id", "id_review")) | _names(s, STRAIGHT, cut)
 
 
+#: Rules that only become false if scores fall or are unknown; Possible holds for no others.
+_OWN = frozenset(RULES.values())
+#: Comparisons that are as cheap as a bound, by kind, the cheapest first.
+_CHEAP = ("byear", "bmonthbday", "levenshtein")
+
+
+class Terms(frozenset):
+    """Alternatives of what must hold together, each a set of (comparison, least score); none is false, an empty one true. An
+    alternative that another one implies is left out, so the condition of all levels is as short as that of the laxest."""
+
+    def __new__(cls, terms=()):
+        most = {frozenset((n, max(t for m, t in term if m == n)) for n, _ in term) for term in terms}
+        implied = lambda x, y: all(any(m == n and t >= least for m, t in x) for n, least in y)  # noqa: E731 - x implies y
+        return super().__new__(cls, (x for x in most if not any(x != y and implied(x, y) for y in most)))
+
+    def __and__(self, other: Terms) -> Terms:
+        return Terms(x | y for x in self for y in other)
+
+    def __or__(self, other: Terms) -> Terms:
+        return Terms([*self, *other])
+
+
+_ANYTHING = Terms([frozenset()])
+
+
+@dataclass(frozen=True)
+class _Least:
+    """A score of which only its least value counts; the value of an unknown one says nothing."""
+
+    name: str
+    known: bool
+
+    def __ge__(self, least: float) -> Terms:
+        return Terms([frozenset([(self.name, least)])]) if self.known else _ANYTHING
+
+    def __eq__(self, value: object) -> Terms:
+        return self >= value if value == 1 else _ANYTHING
+
+    def between(self, low: float, high: float) -> Terms:
+        return self >= low
+
+
+@dataclass(frozen=True)
+class Possible(Scores):
+    """The scores of a pair as a rule's least demands on them: a rule gives Terms. What isn't known may have any value."""
+
+    known: frozenset[str] = frozenset()
+
+    def __getitem__(self, name: str) -> _Least:
+        return _Least(name, name in self.known)
+
+    def at_least(self, name: str, threshold: str | float) -> Terms:
+        return super().at_least(name, threshold) if name in self.made else Terms()
+
+    def is_one(self, *names: str) -> Terms:
+        return super().is_one(*names) if self.made.issuperset(names) else Terms()
+
+    @staticmethod
+    def yes(c: Terms) -> Terms:
+        return c
+
+    @property
+    def no_id(self) -> Terms:
+        return _ANYTHING
+
+
+def _bounds(made: list[str], config: MatchConfig, lettered: set[str]) -> dict[str, Callable[[float], Column]]:
+    """For each comparison that can be looked at before names are compared, whether it can be at least so much: birth dates and ids as
+    they are, names by the letters of columns in lettered."""
+    out = {}
+    for n in made:
+        params = config.params(n)
+        kind = params["comparer"]
+        if kind == "levenshtein" and similarity.SIMPLE[kind] is similarity.levenshtein:
+            (x,), (y,) = similarity.inputs(n, kind)
+            out[n] = lambda least, x=x, y=y, p=params: similarity.levenshtein_possible(x, y, least, p)
+        elif kind in _CHEAP:
+            out[n] = lambda least, n=n, p=params: Scores.yes(similarity.compare(n, p) >= least)
+        elif kind == "inv_jarowinkler" or kind == "jarowinkler" and similarity.SIMPLE[kind] is similarity.jarowinkler:
+            (x,), (y,) = similarity.inputs(n, kind)
+            if {x, y} <= lettered:
+                out[n] = lambda least, x=x, y=y, p=params: similarity.jarowinkler_possible(x, y, least, p)
+    return out
+
+
+def possible(number: int, made: list[str], config: MatchConfig, levels: tuple[str, ...], lettered: set[str]) -> Column | None:
+    """A condition on the two rows of a pair that holds wherever a pass's rule for one of the levels does; None if there is none, or
+    a rule is the caller's own, of which nothing is known. lettered: the columns of which both sides have letter_columns.
+
+    It is kept short, since a JVM doesn't compile methods of over 8000 bytes: what all alternatives ask for is asked once."""
+    rules = [r for (n, level), r in rules_of(config).items() if n == number and level in levels]
+    if not rules or not _OWN.issuperset(rules) or _always in rules:
+        return None
+    bounds = _bounds(made, config, lettered)
+    scores = Possible(frozenset(made), config.thresholds, known=frozenset(bounds))
+    terms = scores.any(*[r(scores) for r in rules])
+    cost = lambda atom: ([*_CHEAP[:2], "inv_jarowinkler", "jarowinkler", _CHEAP[2]].index(config.params(atom[0])["comparer"]), atom)
+    together = lambda atoms: Scores.all(*[bounds[n](least) for n, least in sorted(atoms, key=cost)])
+    shared = frozenset.intersection(*terms) if terms else frozenset()
+    rest = [together(term - shared) for term in sorted(terms, key=lambda x: sorted(map(cost, x))) if term != shared]
+    parts = [*([together(shared)] if shared else []), *([Scores.any(*rest)] if rest else [])]
+    return Scores.all(*parts) if parts else F.lit(bool(terms))
+
+
 def load_rules(path: str) -> dict[tuple[int, str], Rule]:
     """Rules of the caller's own from a Python file, or from accept_functions.py in a folder: a function accept_p<pass>_<level>(scores)
     for each pass and level that it replaces. They hold for the run that names the file and leave RULES as it is."""

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.config import LEVELS, MatchConfig
-from kinforge.functions.similarity import compare, inputs
-from kinforge.operators.accept import flags, level_columns
+from kinforge.functions.similarity import compare, inputs, letter_columns
+from kinforge.operators.accept import flags, level_columns, possible
 from kinforge.operators.blocking import all_passes
+from kinforge.session import stash
 
 FLAGS = [f"match_{level}" for level in LEVELS]
+#: Names of which the letters are written with the sides.
+_BOUNDED = ("fname", "lname")
 
 
 def score_columns(config: MatchConfig) -> list[str]:
@@ -51,19 +54,33 @@ def scored_pass(pairs: DataFrame, passnum: str, order: int, made: list[str], con
     return pairs.select(F.lit(passnum).alias("passnum"), F.lit(order).alias("pass_order"), *ids, *scores)
 
 
-def results(a: DataFrame, b: DataFrame | None, config: MatchConfig) -> DataFrame:
+def lettered(df: DataFrame) -> DataFrame:
+    """df, written, with the letters of the names that every pass's bounds read."""
+    kinds = dict(df.dtypes)
+    return stash(df.withColumns({k: v for c in _BOUNDED if kinds.get(c) == "string" for k, v in letter_columns(c).items()}), "side")
+
+
+def results(a: DataFrame, b: DataFrame | None, config: MatchConfig, level: str = "review", among: DataFrame | None = None) -> DataFrame:
     """passnum, pass_order, ids, four flags, weight and one column for each comparison: the pairs of all passes that the
-    review level accepts. One lazy plan; persist or stash it if several levels are resolved from it."""
+    level accepts, among: only those between ids that are a pair there. The sides are written, with the letters of their names; what
+    follows is one lazy plan; persist or stash it if several levels are resolved from it.
+
+    Pairs that a pass's rules can't accept, whatever their names' scores are, are left out in the join, before names are compared."""
     frames = []
+    asked = LEVELS[: LEVELS.index(level) + 1]
+    a, b = lettered(a), None if b is None else lettered(b)
     other = a if b is None else b
-    for passnum, order, pairs in all_passes(a, b, config):
+    letters = {c for c in _BOUNDED if {f"_letters_{c}"} <= {*a.columns} & {*other.columns}}
+    for passnum, order, pairs in all_passes(a, b, config, among):
         made = valid_comparisons(config.comp_names_by_pass[order] if 0 <= order < len(config.comp_names_by_pass) else [], config, a, other)
+        if order >= 0 and (can := possible(order, made, config, asked, letters)) is not None:
+            pairs = pairs.where((F.col("a_idx") < F.col("b_idx")) & can if config.dedup else can)
         df = scored_pass(pairs, passnum, order, made, config)
         if order < 0:
             df = df.withColumns(dict.fromkeys(FLAGS, F.lit(True)))
         else:
             levels = level_columns(order, made, config)
-            df = df.withColumns(levels).where(" or ".join(levels)).withColumns(flags()).drop(*levels)
+            df = df.withColumns(levels).where(" or ".join(f"_{x}" for x in asked)).withColumns(flags()).drop(*levels)
         frames.append(df.withColumns({n: F.lit(None).cast("double") for n in score_columns(config) if n not in made}))
     if not frames:
         raise ValueError("no blocking pass has its variables on both sides")
