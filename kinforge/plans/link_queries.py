@@ -132,6 +132,12 @@ def _found(spark, d: str, dedup: bool) -> DataFrame:
     return stash(_results(spark, d, dedup).select("passnum", "pass_order", "indv_id_a", "indv_id_b", "idx_a", "idx_b", *res.FLAGS, "weight"), "results")
 
 
+def _accepted(spark, d: str, dedup: bool, level: str) -> DataFrame:
+    """The pairs of ids that a level accepts, written: what groups are made of."""
+    found = res.results(*_sides(spark, d, dedup), DEDUP if dedup else LINK, level)
+    return stash(found.select("indv_id_a", "indv_id_b", f"match_{level}"), "accepted")
+
+
 _SHOWN = ["idx_a", "idx_b", *res.FLAGS]
 for _n in range(5):
     QUERIES[f"accept_p{_n}"] = lambda spark, d, n=_n: _results(spark, d, True).where(F.col("pass_order") == n).select(*_SHOWN, F.round("weight", 6).alias("weight"))
@@ -235,7 +241,7 @@ _DEDUP_SQL = f"""{_recursive(L.results(True))}, e as (select distinct trim(indv_
 
 @query(_DEDUP_SQL)
 def resolve_dedup(spark, d):
-    return resolve.dedup(_found(spark, d, True), first(spark, d), "strict")
+    return resolve.dedup(_accepted(spark, d, True, "strict"), first(spark, d), "strict")
 
 
 _M2M_SQL = f"""{_recursive(L.results(False))}, p as (select distinct trim(indv_id_a) indv_id_a, trim(indv_id_b) indv_id_b, passnum from found where match_strict),

@@ -46,6 +46,12 @@ def test_scores_of_batches_are_those_of_texts():
     assert jaro_winkler_texts(*map(list, zip(*pairs))).tolist() == [jaro_winkler_text(*p) for p in pairs]
 
 
+def test_groups_read_the_pairs_of_their_level_only(people, whole):
+    for level in ("strict", "relaxed"):
+        want = rows(whole.where(f"match_{level}"))
+        assert rows(res.results(people, None, MatchConfig(), level)) == want and want
+
+
 def test_bounds_leave_out_nothing(people, whole):
     got = rows(res.results(people, None, MatchConfig()))
     assert got == rows(whole)
