@@ -293,7 +293,10 @@ _LOST = " union all ".join(f"select '{level}' strictness, count(*) n_lost from t
 
 @query(f"{L.results(True)}, cand as (select distinct least(i.indv_id, j.indv_id) x, greatest(i.indv_id, j.indv_id) y from ({L.all_pairs(True)}) c join a i on i.idx = c.idx_a join a j on j.idx = c.idx_b), tried as (select distinct x, y from ({_THEIRS}) semi join cand using (x, y)) {_LOST}")
 def lost_pairs(spark, d):
-    return report.lost_pairs(_theirs(spark, d), blocking.candidates(first(spark, d), None, DEDUP), _found(spark, d, True), dedup=True)
+    """Only pairs of the other matcher can be lost, so only rows of its pairs are blocked and compared."""
+    theirs, people = _theirs(spark, d), first(spark, d)
+    found = stash(res.results(people, None, DEDUP, among=theirs).select("indv_id_a", "indv_id_b", *res.FLAGS), "found-among")
+    return report.lost_pairs(theirs, blocking.candidates(people, None, DEDUP, theirs), found, dedup=True)
 
 
 # preparation

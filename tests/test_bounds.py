@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinforge.config import LEVELS, MatchConfig
 from kinforge.functions.similarity import jaro_winkler_text, jaro_winkler_texts
-from kinforge.operators import blocking
+from kinforge.operators import blocking, report
 from kinforge.operators import results as res
 from kinforge.operators.accept import possible
 
@@ -58,6 +58,16 @@ def test_bounds_leave_out_nothing(people, whole):
     assert {1, 2, 3, 4} <= {r["pass_order"] for r in whole.collect()}
 
 
+def test_lost_pairs_need_only_the_rows_of_their_ids(spark, people, whole):
+    rng = random.Random(3)
+    theirs = spark.createDataFrame([(f"p{rng.randrange(40)}", f"p{rng.randrange(40)}") for _ in range(900)], "indv_id_a string, indv_id_b string")
+    config = MatchConfig()
+    some = res.results(people, None, config, among=theirs)
+    cand, few = blocking.candidates(people, None, config), blocking.candidates(people, None, config, theirs)
+    want = rows(report.lost_pairs(theirs, cand, whole, dedup=True))
+    assert rows(report.lost_pairs(theirs, few, some, dedup=True)) == want and 0 < few.count() < cand.count()
+
+
 @pytest.mark.parametrize("levels", [LEVELS, LEVELS[:1]])
 def test_bounds_are_short_enough_to_be_compiled(spark, people, levels):
     config = MatchConfig()
