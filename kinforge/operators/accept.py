@@ -278,13 +278,18 @@ def possible(number: int, made: list[str], config: MatchConfig, levels: tuple[st
     """A condition on the two rows of a pair that holds wherever a pass's rule for one of the levels does; None if there is none, or
     a rule is the caller's own, of which nothing is known. lettered: the columns of which both sides have letter_columns.
 
-    It is kept short, since a JVM doesn't compile methods of over 8000 bytes: what all alternatives ask for is asked once."""
-    rules = [r for (n, level), r in rules_of(config).items() if n == number and level in levels]
-    if not rules or not _OWN.issuperset(rules) or _always in rules:
+    It is kept short, since a JVM doesn't compile methods of over 8000 bytes: what all alternatives ask for is asked once, and the
+    condition of all levels is taken where it is the shorter one."""
+    every = {level: r for (n, level), r in rules_of(config).items() if n == number}
+    rules = [r for level, r in every.items() if level in levels]
+    if not rules or not _OWN.issuperset(every.values()):
         return None
     bounds = _bounds(made, config, lettered)
     scores = Possible(frozenset(made), config.thresholds, known=frozenset(bounds))
-    terms = scores.any(*[r(scores) for r in rules])
+    of = lambda rs: _ANYTHING if _always in rs else scores.any(*[r(scores) for r in rs])
+    terms = min(of(rules), of([*every.values()]), key=lambda x: sum(map(len, x)))
+    if terms == _ANYTHING:
+        return None
     cost = lambda atom: ([*_CHEAP[:2], "inv_jarowinkler", "jarowinkler", _CHEAP[2]].index(config.params(atom[0])["comparer"]), atom)
     together = lambda atoms: Scores.all(*[bounds[n](least) for n, least in sorted(atoms, key=cost)])
     shared = frozenset.intersection(*terms) if terms else frozenset()
